@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafline.llm.quality_rules import CHAR_CLASSES, COMMON_WORDS, OTHER, QualityParams, _pooled_words
+from leafline.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, EntropyParams
 
 
 def _quoted(words: list[str]) -> str:
@@ -47,3 +48,49 @@ j AS (SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n >= {params.mi
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (compared AND (coalesce(cd, 0) > {params.max_char_distance} OR coalesce(wd, 0) > {params.max_word_distance})) AS kept
 FROM j"""
+
+
+def spans_sql(name: str, pattern: str, source: str, text: str = "t") -> str:
+    """CTEs that give (doc_id, a, b, v) for each match of a pattern: starts and ends in code points, and its text."""
+    mark = "chr(1)"
+    return f"""
+{name}_p AS (SELECT doc_id, string_split(regexp_replace(replace({text}, {mark}, chr(2)), '({pattern})', {mark} || '\\1' || {mark}, 'g'), {mark}) AS p FROM {source}),
+{name}_i AS (SELECT doc_id, unnest(p) AS v, unnest(range(1, len(p) + 1)) AS i FROM {name}_p WHERE len(p) > 1),
+{name} AS (SELECT doc_id, e - length(v) AS a, e AS b, v FROM (
+    SELECT doc_id, i, v, (sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM {name}_i) WHERE i % 2 = 0)"""
+
+
+def secret_scan_sql(params: EntropyParams = EntropyParams(), source: str = "documents") -> str:
+    q = lambda x: x.replace("'", "''")
+    assign = q(ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+"))
+    tail = q(ASSIGN)
+    suppressed = " OR ".join(f"regexp_matches(v, '{q(x)}')" for x in ALLOWED.values())
+    digits = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
+    low, up = digits.replace("0-9", "a-z"), digits.replace("0-9", "A-Z")
+    limit = {k: v for k, _, v in params.classes}
+    least = (
+        f"CASE WHEN {digits} >= 1 AND regexp_matches(v, '[a-fA-F]') AND (regexp_full_match(v, '[0-9a-f]*') OR regexp_full_match(v, '[0-9A-F]*')) THEN {limit['hex']} "
+        f"WHEN {digits} >= 1 AND {low} >= 1 AND {up} >= 1 THEN {limit['alnum']} WHEN {digits} >= 2 AND {low} + {up} >= 1 THEN {limit['one case']} "
+        f"WHEN {low} >= 2 AND {up} >= 3 THEN {limit['letters']} ELSE 99 END"
+    )
+    w = params.window
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {source}),
+{spans_sql("assigns", assign, "d")},
+{spans_sql("accesses", ACCESS, "d")},
+{spans_sql("hexes", HEX, "d")},
+{spans_sql("cands", CANDIDATE, "d")},
+base AS (SELECT doc_id, a, b, 0 AS r, 'assign' AS k FROM assigns WHERE length(regexp_extract(v, '{tail}', 1)) >= 12
+    UNION ALL SELECT doc_id, a, b, 1, 'access' FROM accesses UNION ALL SELECT doc_id, a, b, 2, 'hex' FROM hexes),
+cand AS (SELECT * FROM (SELECT *, {least} AS least FROM cands c WHERE NOT ({suppressed})
+    AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = c.doc_id AND x.a <= c.a AND x.b >= c.b)) WHERE least < 99),
+wins AS (SELECT doc_id, a, b, least, s, v[s:s + {w - 1}] AS win FROM (SELECT *, unnest(range(1, length(v) - {w - 2})) AS s FROM cand)),
+freq AS (SELECT doc_id, a, b, least, s, ch, count(*) / {w}.0 AS p FROM (SELECT *, unnest(string_split(win, '')) AS ch FROM wins) GROUP BY ALL),
+ent AS (SELECT doc_id, a, b, least, s, -sum(p * log2(p)) AS e FROM freq GROUP BY ALL),
+added AS (SELECT doc_id, a, b, 3 AS r, 'entropy' AS k FROM ent GROUP BY doc_id, a, b, least HAVING max(e) > least),
+bd AS (SELECT doc_id, count(*) FILTER (k = 'assign') AS n_assign, count(*) FILTER (k = 'access') AS n_access, count(*) FILTER (k = 'hex') AS n_hex,
+    string_agg(k || ':' || a || ':' || b, ',' ORDER BY a, r, k, b) AS base FROM base GROUP BY doc_id),
+sd AS (SELECT doc_id, string_agg(k || ':' || a || ':' || b, ',' ORDER BY a, r, k, b) AS spans FROM (FROM base UNION ALL FROM added) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN bd USING (doc_id) LEFT JOIN sd USING (doc_id)"""

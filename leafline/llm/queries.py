@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafline.llm import oracle
 from leafline.llm.common import table
 from leafline.llm.quality_rules import quality_rules
+from leafline.llm.secret_scan import secret_digest, secret_scan
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +17,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("char_distance", "word_distance")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op6_secret_scan": op6_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracle.quality_rules_sql(),
+        "op6_secret_scan": oracle.secret_scan_sql(),
     }
