@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafline.llm import oracle
 from leafline.llm.common import table
+from leafline.llm.pii import pii_digest, pii_spans
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
 
@@ -21,10 +22,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op6_secret_scan": op6_secret_scan,
+        "op8_pii": op8_pii,
     }
 
 
