@@ -64,3 +64,17 @@ atexit.register(discard)
 def partitions_for(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
     """How many partitions of ``each`` there are in ``rows_or_bytes``, and at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows_or_bytes) // each), 1)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't pile up in a Python worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns that an operator is about to add, in any case of letters."""
+    lower = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])

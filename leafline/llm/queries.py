@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafline.llm import oracle
 from leafline.llm.common import table
+from leafline.llm.decontaminate import contamination_digest, decontaminate
 from leafline.llm.pii import pii_digest, pii_spans
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
@@ -26,11 +27,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(pii_spans(table(spark, sf_dir, "documents")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_digest(decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op6_secret_scan": op6_secret_scan,
         "op8_pii": op8_pii,
+        "op10_decontamination": op10_decontamination,
     }
 
 
@@ -38,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracle.quality_rules_sql(),
         "op6_secret_scan": oracle.secret_scan_sql(),
+        "op10_decontamination": oracle.decontamination_sql(),
     }
