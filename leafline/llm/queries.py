@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafline.llm import oracle
 from leafline.llm.common import table
 from leafline.llm.decontaminate import contamination_digest, decontaminate
+from leafline.llm.near_dedup import near_duplicates
 from leafline.llm.packing import pack, packing_digest
 from leafline.llm.pii import pii_digest, pii_spans
 from leafline.llm.quality_rules import quality_rules
@@ -37,11 +38,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(pack(table(spark, sf_dir, "documents")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_packing": op4_packing,
         "op6_secret_scan": op6_secret_scan,
+        "op7_near_dedup": op7_near_dedup,
         "op8_pii": op8_pii,
         "op10_decontamination": op10_decontamination,
     }
