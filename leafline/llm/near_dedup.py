@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     )
     pairs = materialize(pairs, "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = given.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node").join(involved, "node")
+    # never a broadcast: the nodes that are in some pair grow with the corpus
+    texts = given.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node").join(involved.hint("merge"), "node")
     texts = materialize(texts, "texts")
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
