@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +69,14 @@ def partitions_for(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't pile up in a Python worker."""
+    """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't pile up in a Python worker.
+
+    Also lets local Python workers find this package wherever the driver was started.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
         now = str(spark.conf.get(key)).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:

@@ -14,6 +14,7 @@ from leafline.llm.packing import pack, packing_digest
 from leafline.llm.pii import pii_digest, pii_spans
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
+from leafline.llm.suffix_dedup import repeated_bytes, repeated_bytes_digest
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +43,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes_digest(repeated_bytes(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_packing": op4_packing,
         "op6_secret_scan": op6_secret_scan,
         "op7_near_dedup": op7_near_dedup,
