@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafline.llm import oracle
 from leafline.llm.common import table
 from leafline.llm.decontaminate import contamination_digest, decontaminate
+from leafline.llm.lm_score import lm_scores
 from leafline.llm.near_dedup import near_duplicates
 from leafline.llm.packing import pack, packing_digest
 from leafline.llm.pii import pii_digest, pii_spans
@@ -47,6 +48,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes_digest(repeated_bytes(table(spark, sf_dir, "documents")))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scan": op6_secret_scan,
         "op7_near_dedup": op7_near_dedup,
         "op8_pii": op8_pii,
+        "op9_lm_score": op9_lm_score,
         "op10_decontamination": op10_decontamination,
     }
 
