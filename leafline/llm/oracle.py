@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from leafline.llm.license_scan import RULES, SENTENCES
+from leafline.llm.preferences import CLOSE, LEARNED_ROLE, OPEN
 from leafline.llm.quality_rules import CHAR_CLASSES, COMMON_WORDS, OTHER, QualityParams, _pooled_words
 from leafline.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, EntropyParams
 
@@ -112,3 +114,40 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ite
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+def license_scan_sql(source: str = "documents") -> str:
+    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    rules = ", ".join(f"({i}, '{name}', '|{'||'.join(seq)}|')" for i, (name, seq) in enumerate(RULES))
+    return f"""
+WITH RECURSIVE known(id, sentence) AS (VALUES {known}), rules(i, name, pattern) AS (VALUES {rules}),
+parts AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\\n\\r]+|[.;:!?]+(?:[\\x20\\t]+|$)') AS p FROM {source}),
+cut AS (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS pos FROM parts),
+seq AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, string_agg('|' || id || '|', '' ORDER BY pos) AS chain
+    FROM cut JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY doc_id),
+steps(doc_id, i, left_over, out) AS (
+    SELECT doc_id, 0, chain, []::VARCHAR[] FROM seq
+    UNION ALL
+    SELECT doc_id, steps.i + 1, replace(left_over, pattern, '|#|'), CASE WHEN contains(left_over, pattern) THEN list_append(out, name) ELSE out END
+    FROM steps JOIN rules ON rules.i = steps.i)
+SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(list_sort(list_distinct(out)), ','), '') AS licenses
+FROM {source} d LEFT JOIN seq USING (doc_id) LEFT JOIN (SELECT * FROM steps WHERE i = {len(RULES)}) s USING (doc_id)"""
+
+
+def preferences_sql(source: str = "conversations") -> str:
+    turn = f"'{OPEN}' || role || chr(10) || text || '{CLOSE.strip()}' || chr(10)"
+    side = lambda name, parity: f"""
+{name} AS (SELECT pair_id, string_agg({turn}, '' ORDER BY k) AS body, coalesce(string_agg((e - length(text) - {len(CLOSE)})::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY k) FILTER (role = '{LEARNED_ROLE}'), '') AS mask
+    FROM (SELECT *, (sum(length({turn})) OVER (PARTITION BY pair_id ORDER BY k))::BIGINT AS e FROM t JOIN shared USING (pair_id) WHERE side = {parity} AND k > n) GROUP BY pair_id)"""
+    return f"""
+WITH t AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NULL, turn, coalesce(role, 'unknown'), coalesce(text, '')) AS k FROM {source} WHERE conv_id IS NOT NULL),
+sizes AS (SELECT pair_id, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM t GROUP BY pair_id),
+unequal AS (SELECT pair_id, k FROM t GROUP BY pair_id, k HAVING count(DISTINCT side) < 2 OR count(DISTINCT (role, text)) > 1),
+shared AS (SELECT s.pair_id, a > 0 AND b > 0 AS paired, CASE WHEN a > 0 AND b > 0 THEN coalesce(min(k) - 1, a) ELSE 0 END AS n
+    FROM sizes s LEFT JOIN unequal u ON u.pair_id = s.pair_id GROUP BY s.pair_id, a, b),
+prompts AS (SELECT pair_id, string_agg({turn}, '' ORDER BY k) AS prompt FROM t JOIN shared USING (pair_id) WHERE side = 0 AND k <= n GROUP BY pair_id),
+{side("c", 0)}, {side("r", 1)}
+SELECT pair_id, paired, n AS n_shared, coalesce(prompt, '') AS prompt, coalesce(c.body, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
+       coalesce(r.body, '') AS rejected, coalesce(r.mask, '') AS rejected_mask
+FROM shared LEFT JOIN prompts USING (pair_id) LEFT JOIN c USING (pair_id) LEFT JOIN r USING (pair_id)"""

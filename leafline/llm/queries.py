@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from leafline.llm import oracle
 from leafline.llm.common import table
 from leafline.llm.decontaminate import contamination_digest, decontaminate
+from leafline.llm.license_scan import license_digest, license_scan
 from leafline.llm.lm_score import lm_scores
 from leafline.llm.near_dedup import near_duplicates
 from leafline.llm.packing import pack, packing_digest
 from leafline.llm.pii import pii_digest, pii_spans
+from leafline.llm.preferences import consecutive_pairs, format_preferences, preference_digest
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
 from leafline.llm.suffix_dedup import repeated_bytes, repeated_bytes_digest
@@ -52,11 +54,21 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(license_scan(table(spark, sf_dir, "documents")))
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_digest(format_preferences(consecutive_pairs(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_license_scan": op2_license_scan,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_packing": op4_packing,
+        "op5_preferences": op5_preferences,
         "op6_secret_scan": op6_secret_scan,
         "op7_near_dedup": op7_near_dedup,
         "op8_pii": op8_pii,
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracle.quality_rules_sql(),
+        "op2_license_scan": oracle.license_scan_sql(),
+        "op5_preferences": oracle.preferences_sql(),
         "op6_secret_scan": oracle.secret_scan_sql(),
         "op10_decontamination": oracle.decontamination_sql(),
     }
