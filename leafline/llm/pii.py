@@ -154,7 +154,7 @@ def _votes(s: Column, kind: str) -> Column:
     )
 
 
-def pii_candidates(docs: DataFrame) -> DataFrame:
+def pii_candidates(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc_id and all candidates with the labelers' votes: the base spans, and looser ones that don't overlap them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = dict(base_spans(text))
@@ -177,7 +177,8 @@ def pii_candidates(docs: DataFrame) -> DataFrame:
         clear = lambda c: ~F.exists(b, lambda x: (x["start"] < c["end"]) & (x["end"] > c["start"]))
         return F.concat(b, F.filter(F.concat(*[candidates(k) for k in LOOSE]), clear))
 
-    return docs.select("doc_id", let(F.concat(*[candidates(k) for k in BASE_KINDS]), with_clear).alias("candidates"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    return docs.select("doc_id", *carried, let(F.concat(*[candidates(k) for k in BASE_KINDS]), with_clear).alias("candidates"))
 
 
 def vote_counts(candidates: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
@@ -254,14 +255,15 @@ def _logit(c: Column, weights: list[float]) -> Column:
     return z
 
 
-def pii_spans(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
+def pii_spans(docs: DataFrame, params: PiiParams = PiiParams(), carry: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with ``base`` and ``spans``: arrays of (start, rank, kind, end).
 
     Base spans always stay; other candidates are added where the classifier gives
     them the threshold and they don't overlap a base span. Null and empty texts
-    have no spans. Rows are judged one by one; other columns play no role.
+    have no spans. Rows are judged one by one; other columns play no role, but those
+    named in ``carry`` come out as one struct, ``carried``.
     """
-    cands = materialize(pii_candidates(docs), "pii")
+    cands = materialize(pii_candidates(docs, carry), "pii")
     counts = vote_counts(cands)
     weights = train_span_classifier(counts, estimate_reliabilities(counts, params), params)
     limit = math.log(params.threshold / (1 - params.threshold))
@@ -275,7 +277,31 @@ def pii_spans(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
         tagged = F.transform(b, tag)
         return F.struct(F.sort_array(tagged).alias("base"), F.sort_array(F.concat(tagged, F.transform(added, tag))).alias("spans"))
 
-    return cands.select("doc_id", let(base, split).alias("s")).select("doc_id", "s.base", "s.spans")
+    carried = ["carried"] if carry else []
+    return cands.select("doc_id", *carried, let(base, split).alias("s")).select("doc_id", *carried, "s.base", "s.spans")
+
+
+def redacted(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
+    """``docs`` with each span in ``text`` replaced by its kind in brackets; overlapping spans go as one.
+
+    ``n_chars``, if there, is the new length in code points. Null texts stay null.
+    """
+    found = pii_spans(docs, params, carry=docs.columns)
+    text = F.col("carried.text")
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["at"]
+        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out")
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    clean = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", start, step, rest))
+    out = found.withColumn("clean", clean)
+    value = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
+    return out.select(*[value[c].alias(c) if c in value else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
 
 
 def pii_digest(found: DataFrame) -> DataFrame:

@@ -82,10 +82,11 @@ def hit_counts(common: list[str]) -> Callable[[Column], Column]:
     return lambda hits: F.array(*[F.size(F.filter(hits, equal(y))).cast("bigint") for y in common])
 
 
-def quality_features(docs: DataFrame) -> DataFrame:
+def quality_features(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row of integers per document: the base counts and both histograms.
 
-    A null text counts as empty. Windows are compared by 64-bit hash.
+    A null text counts as empty. Windows are compared by 64-bit hash. Columns named
+    in ``carry`` come along as one struct, ``carried``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lang = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise(F.lit(OTHER))
@@ -125,6 +126,7 @@ def quality_features(docs: DataFrame) -> DataFrame:
     counted = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("bigint")
     return docs.select(
         F.col("doc_id"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
         lang.alias("ref"),
         F.length(text).cast("bigint").alias("n_code_points"),
         (F.octet_length(text) - F.length(text)).cast("bigint").alias("wide"),
@@ -192,7 +194,7 @@ def js_distance(counts: Column, reference: list[int]) -> Column:
     return let(n, lambda t: F.when(t > 0, F.sqrt(F.greatest(F.lit(0.0), divergence(t) / 2))))
 
 
-def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), carry: list[str] | None = None) -> DataFrame:
     """Counts, distances and verdict for every row of ``docs`` (doc_id, text, lang; further columns are ignored).
 
     Null texts are empty; empty texts have no words and fail the base rule. A null
@@ -200,9 +202,11 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
     judged one by one. An empty table gives an empty result.
 
     The features of all documents are written once to the shared folder; the
-    references are sums over them.
+    references are sums over them. Columns of ``docs`` named in ``carry`` are written
+    with them and come out as one struct, ``carried``; so each row keeps its own
+    verdict, whatever its doc_id.
     """
-    hist = _histograms(materialize(quality_features(docs), "quality"))
+    hist = _histograms(materialize(quality_features(docs, carry), "quality"))
     refs = language_references(hist, params)
 
     def against(kind: str) -> Column:
@@ -213,7 +217,7 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
 
     long_enough = (F.col("n_code_points") >= params.min_chars_compared) & (F.col("n_words") >= params.min_words_compared)
     judged = hist.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *(["carried"] if carry else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (
             (F.col("n_words") < params.min_words)
             | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
