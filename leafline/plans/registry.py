@@ -1,4 +1,4 @@
-"""Names of the registered queries, with their equivalents in SQL."""
+"""Names of the registered queries, with their equivalents in DuckDB's SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafline.plans import layout_queries, layout_sql
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(layout_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(layout_sql.ORACLES)
