@@ -117,7 +117,7 @@ def region_match(spark, d):
 @query
 def membership_parent(spark, d):
     e = _el(spark, d)
-    return matching.memberships(e, layout.regions(e))
+    return matching.memberships(e, layout.regions(e)).withColumn("region", F.coalesce("region", F.lit(-1).cast("bigint")))
 
 
 @query
@@ -176,7 +176,7 @@ def endpoint_resolution(spark, d):
     keys = e.select("page", F.concat(F.lit("k"), F.col("idx") % 7).alias("ref"), "idx").where("idx < 9")
     aliases = e.select("page", F.concat(F.lit("k"), F.col("idx")).alias("ref"), "idx").where("idx BETWEEN 7 AND 9")
     refs = e.select("page", F.concat(F.lit("k"), F.col("idx")).alias("ref")).where("idx < 12")
-    return matching.resolved_endpoints(refs, keys, aliases)
+    return matching.resolved_endpoints(refs, keys, aliases).withColumn("idx", F.coalesce("idx", F.lit(-1).cast("bigint")))
 
 
 @query

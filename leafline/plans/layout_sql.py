@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
     "region_match": q(EL, regions(4), f"SELECT e.page, e.idx, r.region, round({cover('e', 'r')}, 8) AS coverage FROM el e JOIN rg r ON e.page = r.page WHERE {cover('e', 'r')} >= 0.5 QUALIFY row_number() OVER (PARTITION BY e.page, e.idx ORDER BY {cover('e', 'r')} DESC, {area('r')}, region) = 1"),
     "membership_parent": q(EL, regions(4), f"j AS (SELECT e.page, e.idx, r.region, round({cover('e', 'r', '1e-9')}, 8) AS c, {area('r')} AS a FROM el e JOIN rg r ON e.page = r.page)",
         "t AS (SELECT *, coalesce(lead(c) OVER w, 0) AS second, row_number() OVER w AS n FROM j WINDOW w AS (PARTITION BY page, idx ORDER BY c DESC, a, region))",
-        "SELECT page, idx, CASE WHEN c >= 0.5 AND c - second >= 0.1 THEN region END AS region, c, second, CASE WHEN c < 0.5 THEN 'low coverage' WHEN c - second < 0.1 THEN 'ambiguous' ELSE 'member' END AS reason FROM t WHERE n = 1"),
+        "SELECT page, idx, CASE WHEN c >= 0.5 AND c - second >= 0.1 THEN region ELSE -1 END AS region, c, second, CASE WHEN c < 0.5 THEN 'low coverage' WHEN c - second < 0.1 THEN 'ambiguous' ELSE 'member' END AS reason FROM t WHERE n = 1"),
     "outside_regions": q(EL, regions(4), "SELECT page, idx FROM el e WHERE NOT EXISTS (SELECT 1 FROM rg r WHERE r.page = e.page AND r.region % 2 = 0 AND (e.x0 + e.x1) / 2 BETWEEN r.x0 AND r.x1 AND (e.y0 + e.y1) / 2 BETWEEN r.y0 AND r.y1)"),
     "near_duplicates": q(EL, provider(1), BOTH, f"""SELECT a.page, a.idx AS kept, b.idx AS duplicate FROM bo a JOIN bo b ON a.page = b.page AND a.text = b.text AND a.idx < b.idx WHERE a.text <> ''
         AND least({area('a')}, {area('b')}) > 0 AND {lo('a', 'b')} / least({area('a')}, {area('b')}) >= 0.9 AND least({area('a')}, {area('b')}) / greatest({area('a')}, {area('b')}) >= 0.25"""),
@@ -137,7 +137,7 @@ ORACLES: dict[str, str] = {
     "caption_targets": q(EL, "p AS (SELECT c.page, c.idx AS caption, t.idx AS target, greatest(0, greatest(c.y0, t.y0) - least(c.y1, t.y1)) AS dy, abs((c.x0 + c.x1) / 2 - (t.x0 + t.x1) / 2) AS dx FROM el c JOIN el t ON c.page = t.page WHERE c.idx % 9 = 0 AND t.idx % 9 = 3)",
         "SELECT page, caption, target FROM p WHERE dy <= 0.12 * 792 AND dx <= 0.35 * 612 QUALIFY row_number() OVER (PARTITION BY page, caption ORDER BY dy / 792.0::DOUBLE + dx / 612.0::DOUBLE, target) = 1"),
     "endpoint_resolution": q(EL, "ks AS (SELECT page, 'k' || (idx % 7) AS ref, count(*) AS kn, min(idx) AS ki FROM el WHERE idx < 9 GROUP BY ALL)", "al AS (SELECT page, 'k' || idx AS ref, count(*) AS an, min(idx) AS ai FROM el WHERE idx BETWEEN 7 AND 9 GROUP BY ALL)",
-        "SELECT e.page, 'k' || e.idx AS ref, CASE WHEN kn = 1 THEN ki WHEN kn > 1 THEN NULL WHEN an = 1 THEN ai END AS idx, CASE WHEN kn = 1 THEN 'key' WHEN kn > 1 THEN 'ambiguous key' WHEN an = 1 THEN 'alias' WHEN an > 1 THEN 'ambiguous alias' ELSE 'unresolved' END AS method FROM el e LEFT JOIN ks ON ks.page = e.page AND ks.ref = 'k' || e.idx LEFT JOIN al ON al.page = e.page AND al.ref = 'k' || e.idx WHERE e.idx < 12"),
+        "SELECT e.page, 'k' || e.idx AS ref, CASE WHEN kn = 1 THEN ki WHEN kn > 1 THEN -1 WHEN an = 1 THEN ai ELSE -1 END AS idx, CASE WHEN kn = 1 THEN 'key' WHEN kn > 1 THEN 'ambiguous key' WHEN an = 1 THEN 'alias' WHEN an > 1 THEN 'ambiguous alias' ELSE 'unresolved' END AS method FROM el e LEFT JOIN ks ON ks.page = e.page AND ks.ref = 'k' || e.idx LEFT JOIN al ON al.page = e.page AND al.ref = 'k' || e.idx WHERE e.idx < 12"),
     "mutual_neighbours": q(EL, "p AS (SELECT a.page, a.idx AS s, b.idx AS t, b.y0 - a.y1 AS gap, a.x0 AS ax, b.x0 AS bx FROM el a JOIN el b ON a.page = b.page AND a.idx <> b.idx WHERE b.y0 >= a.y1 AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY page, s ORDER BY gap, bx, t) AS d, row_number() OVER (PARTITION BY page, t ORDER BY gap, ax, s) AS u FROM p)", "SELECT page, s AS source, t AS target, gap FROM r WHERE d = 1 AND u = 1"),
     "topk_candidates": q(EL, SCORED, "SELECT * FROM sc WHERE rank <= 6"),
