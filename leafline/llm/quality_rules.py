@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import let, materialize
+from leafline.llm.common import SPACES, let, materialize
 
 #: Frequent function words of the supported languages.
 COMMON_WORDS = {
@@ -90,7 +90,7 @@ def quality_features(docs: DataFrame, carry: list[str] | None = None) -> DataFra
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lang = F.when(F.col("lang").isin(list(COMMON_WORDS)), F.col("lang")).otherwise(F.lit(OTHER))
-    trimmed = F.expr("btrim(coalesce(text, ''), ' \\t\\n\\u000b\\f\\r')")
+    trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(
         F.split(trimmed, r"[\x20\x09-\x0D]+")
     )
