@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafline.llm.common import bounded_batches, partitions_for
+from leafline.llm.shingles import run_hashes
 
 
 @dataclass(frozen=True)
@@ -38,21 +39,25 @@ class PackingParams:
     query_terms: int = 16
     k1: float = 1.2
     b: float = 0.75
-    cached_words: int = 400_000
+    cached_words: int = 200_000
 
 
-_LETTERS = "a-zªµºß-öø-ÿĀ-ſ"
-#: Texts of these characters alone are split into words here as the tokenizer's own normalizer and splitter do it.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ſ]")
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+#: Texts of these characters alone are split into words here, as the tokenizer's own normalizer and splitter do it:
+#: letters, single digits, and runs of other marks. Apostrophes are left out, as the splitter knows contractions.
+_OTHER_THAN_PLAIN = re.compile("[^\t\n\r\x20-&(-~À-ÖØ-öø-įı-ſ]")
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[48:58] = 2
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 class CachedTokenizer:
     """Ids of texts as little-endian uint32 bytes.
 
     The vocabulary's merges never cross a word, so each word is encoded once and
-    then looked up. Texts with other than plain Latin characters, and such with
-    the marks of special tokens, go to the tokenizer whole.
+    then looked up. Distinct words of a batch are told apart by a 64-bit hash. Texts
+    with other than plain Latin characters, and such with the marks of special
+    tokens, go to the tokenizer whole.
     """
 
     def __init__(self, path: str | None, cached_words: int):
@@ -88,15 +93,42 @@ class CachedTokenizer:
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if not self.most or _PLAIN.search(t) or "<|" in t else _WORDS.findall(t.lower()) for t in texts]
-        new = list({w for words in split if words for w in words if w not in self.cache})
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = list({w for words in split if words for w in words})
-        self.cache.update(zip(new, self._encode_words(new), strict=True))
-        whole = iter(self._encode([t for t, words in zip(texts, split, strict=True) if words is None]))
-        get = self.cache.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+        plain = [bool(self.most) and "<|" not in t and not _OTHER_THAN_PLAIN.search(t) for t in texts]
+        whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
+        split = iter(self._encode_plain([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(split if p else whole) for p in plain]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Words of all texts are found in one array of bytes, and each distinct word is looked up once."""
+        if not texts:
+            return []
+        parts = [t.lower().encode() for t in texts]
+        data = b"\n".join(parts)
+        raw = np.frombuffer(data, np.uint8)
+        cls = _CLASS[raw]
+        new = np.flatnonzero((cls[1:] != cls[:-1]) | (cls[1:] == 2)) + 1
+        starts = np.concatenate([[0], new])
+        ends = np.concatenate([new, [len(raw)]])
+        words = cls[starts] > 0 if len(raw) else np.zeros(1, bool)
+        starts, ends = starts[words], ends[words]
+        _, first, which = np.unique(run_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        distinct = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        ids = list(map(self.cache.get, distinct))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        made = self._encode_words([distinct[i].decode() for i in unknown])
+        for i, x in zip(unknown, made, strict=True):
+            ids[i] = x
+        if len(self.cache) < self.most:  # the first words of a text are mostly the frequent ones
+            self.cache.update((distinct[i], ids[i]) for i in unknown)
+        size = np.array([len(x) >> 2 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(size) - size
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        text_ends = np.cumsum([len(p) + 1 for p in parts])
+        cuts = [0, *(4 * total[np.searchsorted(starts, text_ends)]).tolist()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Index:
@@ -224,8 +256,8 @@ def _packing(params: PackingParams) -> Callable[[Iterator[pa.RecordBatch]], Iter
         shard: list[tuple[bool, int, bytes]] = []
         for batch in batches:
             texts, names = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for i in range(0, len(texts), 256):
-                for name, ids in zip(names[i : i + 256], tokenizer.encode_batch([t or "" for t in texts[i : i + 256]]), strict=True):
+            for i in range(0, len(texts), 1_024):
+                for name, ids in zip(names[i : i + 1_024], tokenizer.encode_batch([t or "" for t in texts[i : i + 1_024]]), strict=True):
                     shard.append((name is None, name or 0, ids + end))
         shard.sort()  # whatever order the rows came in, a second attempt packs alike
         docs = [np.frombuffer(ids, "<u4") for _, _, ids in shard]

@@ -35,6 +35,11 @@ def word_hashes(text: bytes) -> np.ndarray:
         return np.empty(0, np.uint64)
     edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
+    return run_hashes(raw, starts, ends)
+
+
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each run of bytes, from sums over all that comes before its ends."""
     power, inverse = _power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
