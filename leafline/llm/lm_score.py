@@ -231,6 +231,25 @@ def train(docs: DataFrame, vocabulary, params: LmParams) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["weights"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]) / tokens
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most``, in order.
+
+    A histogram over 16 ranges of counts for each doubling gives the least count
+    that can come; so no task sends more than its share of the words.
+    """
+    named = counts.where(F.col("word") != F.lit(END)).withColumn("level", F.floor(16 * F.log2("c")))
+    total, least = 0, None
+    for level, n in sorted(named.groupBy("level").count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = level
+    if least is None:
+        return []
+    found = [(bytes(r["word"]), r["c"]) for r in named.where(F.col("level") >= least).select("word", "c").collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 _SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, tail array<binary>"
 
 
@@ -282,8 +301,7 @@ def lm_scores(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     counts = materialize(counted, "counts")
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.where(F.col("word") == F.lit(END)).first()
-    head = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(params.head_words).collect()
-    known = Vocabulary(end["c"] if end else 0, [(bytes(r["word"]), r["c"]) for r in head], tokens, words, params)
+    known = Vocabulary(end["c"] if end else 0, frequent_words(counts, params.head_words), tokens, words, params)
     vocabulary = spark.sparkContext.broadcast(known)
     weights = spark.sparkContext.broadcast(train(training, vocabulary, params))
 
