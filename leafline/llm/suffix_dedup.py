@@ -265,8 +265,9 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     texts_of = rows.groupBy("same").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("owner"), "n_bytes", "places", "prints")).alias("x"))
     nodes = materialize(texts_of.where("x.n_bytes >= %d" % params.length).select("same", "x.owner", (F.col("copies") > 1).alias("gone"), "x.places", "x.prints"), "nodes")
     seen = nodes.select("same", "owner", "gone", F.explode(F.arrays_zip("places", "prints")).alias("p")).select("same", "owner", "gone", F.col("p.places").alias("at"), F.col("p.prints").alias("print"))
-    often = seen.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    flagged = seen.join(often, "print").groupBy("same", "owner", "gone").agg(F.collect_list("at").alias("places"))
+    # written first: a join right on the grouped side would keep a hot print in one task
+    often = materialize(seen.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "prints")
+    flagged = seen.join(often.hint("merge"), "print").groupBy("same", "owner", "gone").agg(F.collect_list("at").alias("places"))
     owned = given.select(same.alias("same"), F.coalesce("doc_id", F.lit(-1)).alias("owner"), "text")
     texts = materialize(owned.join(flagged.hint("merge"), ["same", "owner"]).dropDuplicates(["same", "owner"]).select("same", "gone", "places", "text"), "texts")
 
