@@ -1,4 +1,4 @@
-"""Sequential algorithms on the edges of one page, run by ``applyInPandas`` per page.
+"""Sequential algorithms on the edges of one page.
 
 A page has a bounded number of elements, so a group fits in memory; pages are
 independent and spread over the cluster.
@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafline.operators.pages import by_page
+
+BOXES = ["idx", "x0", "y0", "x1", "y1"]
+
 
 class _Chains:
     """Edges of degree one without cycles; ends of chains by union-find."""
@@ -57,11 +61,12 @@ def greedy_cover(edges: Iterable[tuple[int, int]]) -> list[str]:
 def path_cover(edges: DataFrame) -> DataFrame:
     """Every edge (page, source, target, score, protected) with its status; protected ones come first, then by score."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["protected", "score", "source", "target"], ascending=[False, False, True, True])
-        return page.assign(status=greedy_cover(zip(page["source"], page["target"], strict=True)))
+    def run(page: dict[str, list]) -> list[list]:
+        return [page["source"], page["target"], page["score"], page["protected"], greedy_cover(zip(page["source"], page["target"], strict=True))]
 
-    return edges.groupBy("page").applyInPandas(run, "page bigint, source bigint, target bigint, score double, protected boolean, status string")
+    order = [F.desc("protected"), F.desc("score"), "source", "target"]
+    edges = edges.select("page", "source", "target", "score", "protected")
+    return by_page(edges, order, run, "page bigint, source bigint, target bigint, score double, protected boolean, status string")
 
 
 def max_regret_edges(edges: list[tuple[int, int, float]], least: float) -> list[tuple[int, int, float, float]]:
@@ -86,13 +91,12 @@ def max_regret_edges(edges: list[tuple[int, int, float]], least: float) -> list[
 
 
 def max_regret_cover(edges: DataFrame, least: float = 0.3) -> DataFrame:
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def run(page: dict[str, list]) -> list[list]:
         found = max_regret_edges(list(zip(page["source"], page["target"], page["score"], strict=True)), least)
-        out = pd.DataFrame(found, columns=["source", "target", "score", "regret"])
-        out.insert(0, "page", page["page"].iloc[0])
-        return out
+        return [list(c) for c in zip(*found, strict=True)]
 
-    return edges.groupBy("page").applyInPandas(run, "page bigint, source bigint, target bigint, score double, regret double")
+    edges = edges.select("page", "source", "target", "score")
+    return by_page(edges, ["source", "target"], run, "page bigint, source bigint, target bigint, score double, regret double")
 
 
 def topological_order(items: DataFrame, edges: DataFrame, rank: str) -> DataFrame:
@@ -162,15 +166,19 @@ def assign(scores: np.ndarray) -> list[tuple[int, int]]:
 def one_to_one(scored: DataFrame, least: float = 0.0) -> DataFrame:
     """Assignment of (page, left, right, score): most pairs, then the highest sum."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["score"] >= least]
-        grid = page.pivot_table(index="left", columns="right", values="score", aggfunc="max")
-        found = [(grid.index[i], grid.columns[j], grid.iat[i, j]) for i, j in assign(grid.to_numpy())] if len(page) else []
-        out = pd.DataFrame(found, columns=["left", "right", "score"])
-        out.insert(0, "page", page["page"].iloc[0] if len(page) else 0)
-        return out
+    def run(page: dict[str, list]) -> list[list]:
+        best: dict[tuple[int, int], float] = {}
+        for left, right, score in zip(page["left"], page["right"], page["score"], strict=True):
+            best[left, right] = max(score, best.get((left, right), score))
+        rows, cols = sorted({k[0] for k in best}), sorted({k[1] for k in best})
+        grid = np.full((len(rows), len(cols)), np.nan)
+        for (left, right), score in best.items():
+            grid[rows.index(left), cols.index(right)] = score
+        found = assign(grid)
+        return [[rows[i] for i, _ in found], [cols[j] for _, j in found], [float(grid[i, j]) for i, j in found]]
 
-    return scored.groupBy("page").applyInPandas(run, "page bigint, left bigint, right bigint, score double")
+    wanted = scored.where(F.col("score") >= least).select("page", "left", "right", "score")
+    return by_page(wanted, ["left", "right"], run, "page bigint, left bigint, right bigint, score double")
 
 
 def xy_cut(boxes: list[tuple[int, float, float, float, float]], depth: int = 8, least: float = 2.0) -> list[int]:
@@ -201,18 +209,17 @@ def xy_cut(boxes: list[tuple[int, float, float, float, float]], depth: int = 8,
 
 
 def recursive_xy_cut(elements: DataFrame, depth: int = 8) -> DataFrame:
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        order = xy_cut(list(page[["idx", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), depth)
-        return pd.DataFrame({"page": page["page"].iloc[0], "idx": order, "xy_rank": range(1, len(order) + 1)})
+    def run(page: dict[str, list]) -> list[list]:
+        order = xy_cut(list(zip(*(page[c] for c in BOXES), strict=True)), depth)
+        return [order, list(range(1, len(order) + 1))]
 
-    return elements.groupBy("page").applyInPandas(run, "page bigint, idx bigint, xy_rank bigint")
+    return by_page(elements.select("page", *BOXES), ["idx"], run, "page bigint, idx bigint, xy_rank bigint")
 
 
 def running_mean_rows(elements: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """Rows by first match: an element joins the first row whose mean centre is within ``tolerance``; the mean moves with it."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(c=(page["y0"] + page["y1"]) / 2).sort_values(["c", "x0", "idx"])
+    def run(page: dict[str, list]) -> list[list]:
         means: list[float] = []
         sizes: list[int] = []
         out = []
@@ -225,9 +232,10 @@ def running_mean_rows(elements: DataFrame, tolerance: float = 6.0) -> DataFrame:
                 sizes[row] += 1
                 means[row] += (c - means[row]) / sizes[row]
             out.append(row)
-        return pd.DataFrame({"page": page["page"], "idx": page["idx"], "row": out})
+        return [page["idx"], out]
 
-    return elements.groupBy("page").applyInPandas(run, "page bigint, idx bigint, row bigint")
+    centers = elements.select("page", "idx", "x0", ((F.col("y0") + F.col("y1")) / 2).alias("c"))
+    return by_page(centers, ["c", "x0", "idx"], run, "page bigint, idx bigint, row bigint")
 
 
 def consensus_votes(orders: DataFrame) -> DataFrame:
@@ -253,7 +261,7 @@ def consensus_cover(votes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(page, node, root) of the components of each page's edges; a root is the least node."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def run(page: dict[str, list]) -> list[list]:
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -267,6 +275,6 @@ def components(edges: DataFrame) -> DataFrame:
             a, b = root(s), root(t)
             parent[max(a, b)] = min(a, b)
         nodes = sorted(parent)
-        return pd.DataFrame({"page": page["page"].iloc[0], "node": nodes, "root": [root(n) for n in nodes]})
+        return [nodes, [root(n) for n in nodes]]
 
-    return edges.groupBy("page").applyInPandas(run, "page bigint, node bigint, root bigint")
+    return by_page(edges.select("page", "source", "target"), ["source", "target"], run, "page bigint, node bigint, root bigint")
