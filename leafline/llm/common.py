@@ -44,9 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not _OWNED:  # registered after the session, so it runs before the session's own end
+        atexit.unregister(discard)
+        atexit.register(discard)
     _OWNED[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def discard(*paths: str) -> None:
@@ -60,9 +65,6 @@ def discard(*paths: str) -> None:
             pass
 
 
-atexit.register(discard)
-
-
 def partitions_for(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
     """How many partitions of ``each`` there are in ``rows_or_bytes``, and at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows_or_bytes) // each), 1)

@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from leafline.llm.common import discard, materialize
 
 
-def _path(df: DataFrame) -> str:
-    files = df.inputFiles()
-    return files[0].rpartition("/")[0] if files else ""
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for all ends of ``edges`` (a, b: bigint); a root is the least node of its component.
 
@@ -30,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u <> v").distinct(), "edges")
         found = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(_path(now))
+        discard(now.written_to)
         now = after
         if found == state or not found[0]:
             break

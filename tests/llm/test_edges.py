@@ -172,3 +172,17 @@ def test_preferences(spark):
 
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registered.queries()} == set(range(1, 11))
+
+
+def test_pipeline_stages_stand_the_cases(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = documents(spark).select(columns)
+    for table in (docs, docs.where("false"), docs.withColumn("text", docs.text.substr(1, 0)), docs.where("doc_id IS NULL OR text IS NULL")):
+        now = table
+        for _, stage in pipeline.STAGES[:4]:
+            now = pipeline.materialize(stage(spark, now, "/root/testdata/sf0.001"), "test")
+            assert now.columns == columns
+        assert pipeline.STAGES[4][1](spark, now, "").count() >= 0
+    kept = {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()}
+    assert {1, 3, 4, 6, 7, 8, 10, 11, 12, None} <= kept and not {2, 13} & kept
