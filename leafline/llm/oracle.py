@@ -151,3 +151,23 @@ prompts AS (SELECT pair_id, string_agg({turn}, '' ORDER BY k) AS prompt FROM t J
 SELECT pair_id, paired, n AS n_shared, coalesce(prompt, '') AS prompt, coalesce(c.body, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
        coalesce(r.body, '') AS rejected, coalesce(r.mask, '') AS rejected_mask
 FROM shared LEFT JOIN prompts USING (pair_id) LEFT JOIN c USING (pair_id) LEFT JOIN r USING (pair_id)"""
+
+
+def repeated_bytes_sql(length: int = 400, source: str = "documents") -> str:
+    """Texts as hexadecimal digits, so that places are bytes; windows are told apart by MD5.
+
+    Windows are cut from parts of a text, as cutting them from its start would take the square of its length.
+    """
+    part = 200
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM {source}),
+c AS (SELECT doc_id, start, substring(h, 2 * start + 1, {2 * (part + length - 1)}) AS p, least({part}, n - {length - 1} - start) AS m FROM (SELECT doc_id, h, n, unnest(range(0, n - {length - 1}, {part})) AS start FROM d WHERE n >= {length})),
+w AS (SELECT doc_id, start + o AS i, md5(substring(p, 2 * o + 1, {2 * length})) AS k FROM (SELECT doc_id, start, p, unnest(range(m)) AS o FROM c)),
+t AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM t),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f) GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM r),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS tail, string_agg(substring(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substring(h, 2 * tail + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""

@@ -81,6 +81,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracle.quality_rules_sql(),
         "op2_license_scan": oracle.license_scan_sql(),
+        "op3_suffix_dedup": oracle.repeated_bytes_sql(),
         "op5_preferences": oracle.preferences_sql(),
         "op6_secret_scan": oracle.secret_scan_sql(),
         "op10_decontamination": oracle.decontamination_sql(),
