@@ -24,7 +24,7 @@ NAMES = sorted(registry.queries())
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "documents pages benchmark labels conversations events".split():
+    for t in "documents embeddings pages benchmark labels conversations events".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
