@@ -51,6 +51,9 @@ _CLASS[48:58] = 2
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
+_PROBE = "Ab cD, e.f! 12 Éç_x--(Y)\n z the\t [Straße] #1"
+
+
 class CachedTokenizer:
     """Ids of texts as little-endian uint32 bytes.
 
@@ -73,6 +76,8 @@ class CachedTokenizer:
             self.most = 0  # words of other tokenizers are not known to be independent
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        if self.most and self._encode_plain([_PROBE]) != self._encode([_PROBE]):
+            self.most, self.cache = 0, {}  # it normalizes or splits in another way
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Joined by spaces, words are encoded as they are alone, and the last id of each is one that ends a word."""

@@ -150,3 +150,15 @@ def test_pipeline_against_brute_force(spark):
     for i in total:
         assert sum(p.length for p in pieces if p.doc_id == i) == total[i]
     assert pipeline.run(spark, SF).count() == len(pieces)
+
+
+def test_cached_words_encode_like_the_tokenizer():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from leafline.llm.packing import CachedTokenizer
+
+    ours = CachedTokenizer(None, 50)
+    assert ours.most == 50
+    texts = soup(4, ["the", "Été", "it's", "'ll", " ", "\n", "12", "_", "--", "日本", "x²", " ", "\x1c", "İ", "×", "<|endoftext|>", "straße", "."], 300)
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in ours.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ours.encode_batch(texts) == want
+    assert CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), 50).most == 0
