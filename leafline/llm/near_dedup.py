@@ -5,6 +5,8 @@
 3. Equal texts are one node. Nodes that share a band key with others become
    candidates together with the first and the last node of that key.
 4. Candidates are verified on whole texts, and links make components.
+5. All other pairs of a key whose ends are still in different components are
+   verified too, so no two nodes that share a key are left uncompared.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.common import bounded_batches, materialize
@@ -31,6 +33,7 @@ class NearDedupParams:
     ``idf_features``: shingles are hashed into so many features to count documents;
     the counts, not the documents, are what is broadcast.
     ``idf_span``: the rarest feature weighs 1 + idf_span, one in all documents 1.
+    ``block``: the members of a key are paired in blocks of about so many.
     """
 
     shingle: int = 5
@@ -42,6 +45,7 @@ class NearDedupParams:
     rarest: float = 1 / 256
     table: int = 1 << 15
     seed: int = 11
+    block: int = 256
 
 
 class Weights:
@@ -129,11 +133,14 @@ def _sampling(idf, params: NearDedupParams) -> Callable[[Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, sampler = Weights(*idf.value, params), sampler_for(params)
         for batch in batches:
-            keys = []
+            keys, sizes, totals = [], [], []
             for text in batch["text"].cast(pa.binary()):
                 hashes, w = weights.of(text.as_py())
                 keys.append(sampler.band_keys(hashes, w) if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+                sizes.append(len(hashes))
+                totals.append(float(w.sum()))
+            made = [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(totals, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], *made], names=["doc_id", "same", "bands", "size", "total"])
 
     return run
 
@@ -169,6 +176,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, params: NearDedupParams)
     return materialize(with_both.mapInArrow(_verifying(idf, params), "a bigint, b bigint"), "links")
 
 
+def _may_link(params: NearDedupParams) -> Column:
+    """False only for pairs that can't be linked: neither similarity exceeds the ratio of the sizes it is made of."""
+    ratio = lambda x: F.least(f"l.{x}", f"r.{x}") / F.greatest(f"l.{x}", f"r.{x}")
+    return F.greatest(ratio("size"), ratio("total")) >= params.similarity - 1e-6
+
+
+def _across(crowds: DataFrame, rooted: DataFrame, nodes: DataFrame, params: NearDedupParams) -> DataFrame:
+    """All pairs (a, b) of nodes that share a key of ``crowds`` (key, node) but no root of ``rooted``, and may be linked.
+
+    The members of a key are dealt into blocks, and each pair of blocks is joined by itself.
+    """
+    member = crowds.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    blocks = F.ceil(F.col("n") / params.block).cast("int")
+    member = member.join(mixed.select("key", blocks.alias("blocks")), "key").join(nodes.select("node", "size", "total"), "node")
+    member = materialize(member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowds")
+    left = member.select("*", F.explode(F.expr("sequence(own, blocks - 1)")).alias("other")).alias("l")
+    right = member.select("*", F.explode(F.expr("sequence(0, own)")).alias("other")).alias("r")
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
+    met &= (F.col("l.root") != F.col("r.root")) & ((F.col("l.own") < F.col("r.own")) | (F.col("l.node") < F.col("r.node")))
+    pairs = left.join(right.hint("merge"), met & _may_link(params))
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
+def _merged(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted`` (node, root) after further ``links`` (a, b): components of the roots that these connect."""
+    root = lambda side: rooted.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    between = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = materialize(connected_components(between), "components").select(F.col("node").alias("at"), F.col("root").alias("top"))
+    known = rooted.join(above, F.col("root") == F.col("at"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.join(rooted, F.col("at") == F.col("node"), "left_anti").select(F.col("at").alias("node"), F.col("top").alias("root"))
+    return materialize(known.union(fresh), "components")
+
+
 def document_frequencies(docs: DataFrame, params: NearDedupParams) -> tuple[np.ndarray, int]:
     """Documents with each of the ``idf_features`` features, and documents with any: a vector of fixed size."""
     rows = docs.select("text").mapInArrow(_counting(params), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
@@ -188,9 +230,10 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     than five words are one shingle. Rows that share a doc_id are one document. Rows
     with a null doc_id have a null class. Other columns play no role.
 
-    Candidates are (node, first node) and (node, last node) of each band key, so a
-    key costs as many pairs as it has nodes, whatever its size. Pairs whose ends the
-    first round of verification has joined are not verified again.
+    The first candidates are (node, first node) and (node, last node) of each band
+    key: as many pairs as it has nodes. All other pairs of a key follow, but for
+    those whose ends are joined by then or whose sizes exclude a link. A key whose
+    members stay unlike each other costs the square of their number.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -198,13 +241,13 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     counts, total = document_frequencies(given, params)
     idf = spark.sparkContext.broadcast((counts, total))
     keyed = given.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), "text")
-    sampled = materialize(keyed.mapInArrow(_sampling(idf, params), "doc_id bigint, same string, bands array<bigint>"), "bands")
+    sampled = materialize(keyed.mapInArrow(_sampling(idf, params), "doc_id bigint, same string, bands array<bigint>, size bigint, total double"), "bands")
     named = sampled.where("doc_id IS NOT NULL AND bands IS NOT NULL")
-    nodes = materialize(named.groupBy("same").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("same", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands")), "nodes")
+    nodes = materialize(named.groupBy("same").agg(F.min(F.struct("doc_id", "bands", "size", "total")).alias("first")).select("same", F.col("first.doc_id").alias("node"), "first.bands", "first.size", "first.total"), "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("key"))
-    ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    found = members.join(ends, "key")
+    ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members")).where("low < high")
+    found = materialize(members.join(ends, "key"), "found")
     pairs = (
         found.select(F.col("low").alias("a"), F.col("node").alias("b"))
         .union(found.select(F.col("node").alias("a"), F.col("high").alias("b")))
@@ -222,8 +265,10 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     root = lambda side: rooted.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    more = _verified(rest, texts, idf, params)
-    rooted = connected_components(links.union(more))
+    rooted = _merged(rooted, _verified(rest, texts, idf, params))
+    # of up to three members, the first and the last have met all
+    others = _across(found.where("members > 3").select("key", "node"), rooted, nodes, params).join(pairs, ["a", "b"], "left_anti")
+    rooted = _merged(rooted, _verified(materialize(others, "pairs"), texts, idf, params))
 
     classes = nodes.select("same", "node").join(rooted, "node", "left").select("same", F.coalesce("root", "node").alias("class_id"))
     linked = named.select("doc_id", "same").join(classes, "same").select("doc_id", "class_id")

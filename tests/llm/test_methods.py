@@ -162,3 +162,20 @@ def test_cached_words_encode_like_the_tokenizer():
     want = [np.asarray(e.ids, "<u4").tobytes() for e in ours.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert ours.encode_batch(texts) == want
     assert CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), 50).most == 0
+
+
+def test_near_copies_that_share_a_hot_passage(spark):
+    """Pairs that meet only in keys whose first and last node resemble neither of them are compared all the same."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    passage = " ".join(word() for _ in range(600))
+    rows = []
+    for k in range(150):
+        family = " ".join(word() for _ in range(55))
+        rows += [(rng.randrange(1 << 40), f"{passage} {family} {' '.join(word() for _ in range(45))}", k) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, family int")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    # at 0.87, 1 - (1 - 0.87^4)^12 = 0.9999 of the pairs share a key
+    split = [k for k in range(150) if len({got[i] for i, _, f in rows if f == k}) > 1]
+    assert not split
+    assert len(set(got.values())) == 150
