@@ -29,14 +29,14 @@ class PackingParams:
     """``tokenizer``: path of a file of the tokenizers library; None: the public word-level BPE file.
 
     ``shard_bytes``: UTF-8 bytes of text in a shard, on average; a shard is held in memory.
-    ``query_terms``: how many of the seed's terms, those with the highest scores, make the query.
+    ``dense_share``: terms in at least this share of a shard's documents are kept as rows over all of them.
     """
 
     length: int = 2048
     end_id: int = 1
     tokenizer: str | None = None
     shard_bytes: int = 6 << 20
-    query_terms: int = 16
+    dense_share: float = 0.25
     k1: float = 1.2
     b: float = 0.75
     cached_words: int = 200_000
@@ -154,23 +154,27 @@ class Index:
         self.own = [(0, 0)] * self.size
         ends = np.cumsum(sizes)
         self.own = list(zip(ends - sizes, ends, strict=True))
-        self.terms, self.impact_by_doc = terms, impact
+        self.terms = terms
         order = np.argsort(terms, kind="stable")
         self.docs, self.impact = owner[order], impact[order]
         self.starts = np.concatenate([[0], np.cumsum(df)])
+        frequent = np.flatnonzero(df >= max(1, params.dense_share * self.size))
+        self.row = np.full(len(df), -1, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.size), np.float32)
+        is_frequent = self.row[terms] >= 0
+        self.dense[self.row[terms[is_frequent]], owner[is_frequent]] = impact[is_frequent]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with ``seed``, best first."""
+        """Unused documents that share a term with ``seed``, best first; every distinct term of the seed counts."""
         a, b = self.own[seed]
-        terms, own = self.terms[a:b], self.impact_by_doc[a:b]
-        if len(terms) > self.params.query_terms:
-            terms = terms[np.argsort(-own, kind="stable")[: self.params.query_terms]]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        if not spans:
-            return np.empty(0, np.int64)
-        score = np.bincount(
-            np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.impact[s] for s in spans]), self.size
-        )
+        rows = self.row[self.terms[a:b]]
+        score = self.dense[rows[rows >= 0]].sum(0, dtype=np.float64)
+        rare = self.terms[a:b][rows < 0]
+        sizes = self.starts[rare + 1] - self.starts[rare]
+        if len(rare):
+            at = np.repeat(self.starts[rare] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            score += np.bincount(self.docs[at], self.impact[at], self.size)
         score *= unused
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
