@@ -30,6 +30,8 @@ class QualityParams:
     """``max_*_distance``: Jensen-Shannon distances (base 2, 0 to 1) above which a document is rejected.
 
     ``min_*``: shorter documents are not compared; their histograms say too little.
+    ``max_word_distance`` has to be below the distance of a text without any common
+    word, which is 0.305 where these are 17% of all words, and reaches it at about 14%.
     ``min_reference_words``: a language with fewer words in the corpus has no reference of its own.
     """
 
@@ -38,7 +40,7 @@ class QualityParams:
     min_chars_compared: int = 400
     min_words_compared: int = 60
     max_char_distance: float = 0.30
-    max_word_distance: float = 0.34
+    max_word_distance: float = 0.27
     min_reference_words: int = 10_000
 
 

@@ -200,3 +200,16 @@ def test_neighbours_are_ranked_by_all_terms_of_the_seed():
         got = index.neighbours(seed, unused)
         assert set(got) == set(np.flatnonzero(want))
         assert np.allclose(want[got], np.sort(want[want > 0])[::-1], rtol=1e-4)
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    """Long texts without common words, or with another language's, are rejected."""
+    from leafline.llm.quality_rules import COMMON_WORDS, quality_rules
+
+    rng = random.Random(7)
+    rare = lambda: "".join(rng.choice("bcdfglmnprstaeiou") for _ in range(rng.randint(3, 9)))
+    prose = lambda lang, n: " ".join(rng.choice(COMMON_WORDS[lang]) if rng.random() < 0.18 else rare() for _ in range(n))
+    rows = [(i, prose("en", 400), "en") for i in range(150)] + [(i, prose("de", 400), "de") for i in range(200, 300)]
+    rows += [(500, " ".join(rare() for _ in range(900)), "en"), (501, prose("de", 900), "en"), (502, " ".join(rare() for _ in range(600)), "de"), (503, prose("en", 600), "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in quality_rules(docs).collect() if not r.kept} == {500, 501, 502, 503}
