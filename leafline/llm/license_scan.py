@@ -1,7 +1,7 @@
 """License scan: known sentences, and rules that are ordered sequences of them.
 
-A text is cut into sentences, each is normalised, and the known ones give a
-sequence of identifiers. A rule is found where its identifiers follow each other
+A text is cut into sentences. Runs of their lines, longest first, are joined and
+normalised, and the known ones give a sequence of identifiers. A rule is found where its identifiers follow each other
 in that sequence; longer rules are tried first, and what they cover is taken.
 """
 
@@ -60,17 +60,37 @@ RULES = [
     ("LicenseRef-Proprietary", ["proprietary-ref"]),
     ("LicenseRef-Rights-Reserved", ["rights-reserved"]),
 ]
-#: Ends of sentences: line breaks, and marks before white space or the end of the text.
-BREAK = r"[\n\r]+|[.;:!?]+(?:[\x20\t]+|$)"
+#: Ends of sentences: lines without letters and digits, and marks before white space or the end of the text.
+BREAK = r"(?>\r\n|[\n\r])[^a-zA-Z0-9\n\r]*[\n\r]+|[.;:!?]+(?:[\x20\t]+|(?=[\n\r])|$)"
 #: Every known sentence has one of these, so a text without any needs no cutting.
 TRIGGER = r"(?i)licen|permission|rights reserved|redistribut|warrant|free software|confidential|cc0"
 
 
 def _identifiers(text: Column) -> Column:
+    likely = F.filter(F.split(text, BREAK), lambda s: s.rlike("(?i)" + "|".join(sorted({_rare(v) for v in SENTENCES.values()}))))
+    return F.flatten(F.transform(likely, _known_runs))
+
+
+def _known_runs(sentence: Column) -> Column:
+    """Identifiers of the known runs of whole lines of a sentence; of two that overlap, the first, and of its runs the longest."""
     normal = lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", F.lit(" ")))
     known = F.create_map(*[F.lit(x) for pair in ((v, k) for k, v in SENTENCES.items()) for x in pair])
-    likely = F.filter(F.split(text, BREAK), lambda s: s.rlike("(?i)" + "|".join(sorted({_rare(v) for v in SENTENCES.values()}))))
-    return F.filter(F.transform(likely, lambda s: F.try_element_at(known, normal(s))), lambda x: x.isNotNull())
+    all_known = F.array(*map(F.lit, SENTENCES.values()))
+    most = max(len(v.split()) for v in SENTENCES.values())  # every line has a word, so no known run has more lines
+
+    def longest(lines: Column, line: Column, i: Column) -> Column:
+        lengths = F.sequence(F.least(F.lit(most), F.size(lines) - i), F.lit(1), F.lit(-1))
+        runs = F.transform(lengths, lambda n: F.struct(i.alias("at"), n.alias("n"), F.try_element_at(known, F.array_join(F.slice(lines, i + 1, n), " ")).alias("id")))
+        return F.when(F.exists(all_known, lambda v: F.startswith(v, line)), F.get(F.filter(runs, lambda r: r["id"].isNotNull()), F.lit(0)))
+
+    def step(acc: Column, r: Column) -> Column:
+        taken = F.struct((r["at"] + r["n"]).alias("next"), F.concat(acc["out"], F.array(r["id"])).alias("out"))
+        return F.when(r["at"] >= acc["next"], taken).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+    lines = F.filter(F.transform(F.split(sentence, r"[\n\r]+"), normal), lambda x: x != "")
+    found = lambda ls: F.filter(F.transform(ls, lambda x, i: longest(ls, x, i)), lambda r: r.isNotNull())
+    return let(lines, lambda ls: F.aggregate(found(ls), start, step, lambda acc: acc["out"]))
 
 
 def _rare(sentence: str) -> str:
@@ -81,8 +101,8 @@ def _rare(sentence: str) -> str:
 def license_scan(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with ``sentences``, the identifiers in order, and ``licenses``, sorted and distinct.
 
-    Line breaks end sentences, so a notice that is wrapped is recognised line by
-    line only. Null and empty texts have neither. Rows are judged one by one; other
+    A sentence may run over lines, which may begin with comment marks; blank lines,
+    and such of marks alone, end it. Null and empty texts have neither. Rows are judged one by one; other
     columns play no role.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -213,3 +213,33 @@ def test_quality_rejects_texts_without_common_words(spark):
     rows += [(500, " ".join(rare() for _ in range(900)), "en"), (501, prose("de", 900), "en"), (502, " ".join(rare() for _ in range(600)), "de"), (503, prose("en", 600), "de")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert {r.doc_id for r in quality_rules(docs).collect() if not r.kept} == {500, 501, 502, 503}
+
+
+def test_wrapped_licenses_are_found(spark):
+    from textwrap import fill
+
+    from leafline.llm.license_scan import license_scan
+
+    mit = [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.',
+    ]
+    apache = [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ]
+    texts, want = [], []
+    for parts, name, n in ((mit, "MIT", 3), (apache, "Apache-2.0", 5)):
+        for width in (30, 72, 80):
+            for mark in ("", "# ", " * ", "// "):
+                for end in ("\n", "\r\n"):
+                    notice = "\n\n".join(fill(p, width) for p in parts)
+                    texts.append(end.join(mark + x for x in f"Copyright (c) 2020 Someone\n\n{notice}\n\nint main".split("\n")))
+                    want.append(([name], n))
+    texts += ["Some words\nLicensed under CC BY 4.0\nother words", "Released under the\n\nMIT License.", "Released under the\nMIT License. All rights\nreserved."]
+    want += [(["CC-BY-4.0"], 1), ([], 0), (["LicenseRef-Rights-Reserved", "MIT"], 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.licenses, len(r.sentences)) for r in license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
