@@ -5,8 +5,9 @@
 3. Equal texts are one node. Nodes that share a band key with others become
    candidates together with the first and the last node of that key.
 4. Candidates are verified on whole texts, and links make components.
-5. All other pairs of a key whose ends are still in different components are
-   verified too, so no two nodes that share a key are left uncompared.
+5. Keys whose members are still in different components are searched by an exact
+   prefix join: similar texts share one of their rarest shingles. So no link
+   between two members of a key is lost, and no key is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.common import bounded_batches, materialize
@@ -26,14 +27,13 @@ from leafline.llm.shingles import mix, shingle_hashes
 
 @dataclass(frozen=True)
 class NearDedupParams:
-    """``similarity``: from this weighted, or plain, Jaccard similarity on two texts are linked.
+    """``similarity``: from this weighted Jaccard similarity on two texts are linked.
 
     With ``bands`` x ``rows`` samples a pair at similarity s is a candidate with
     probability 1 - (1 - s^rows)^bands: 0.9983 at 0.8, 0.99995 at 0.85.
     ``idf_features``: shingles are hashed into so many features to count documents;
     the counts, not the documents, are what is broadcast.
     ``idf_span``: the rarest feature weighs 1 + idf_span, one in all documents 1.
-    ``block``: the members of a key are paired in blocks of about so many.
     """
 
     shingle: int = 5
@@ -45,7 +45,6 @@ class NearDedupParams:
     rarest: float = 1 / 256
     table: int = 1 << 15
     seed: int = 11
-    block: int = 256
 
 
 class Weights:
@@ -133,25 +132,21 @@ def _sampling(idf, params: NearDedupParams) -> Callable[[Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, sampler = Weights(*idf.value, params), sampler_for(params)
         for batch in batches:
-            keys, sizes, totals = [], [], []
+            keys = []
             for text in batch["text"].cast(pa.binary()):
                 hashes, w = weights.of(text.as_py())
                 keys.append(sampler.band_keys(hashes, w) if len(hashes) else None)
-                sizes.append(len(hashes))
-                totals.append(float(w.sum()))
-            made = [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(totals, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], *made], names=["doc_id", "same", "bands", "size", "total"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["same"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
 
     return run
 
 
-def similarities(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two sorted sets of weighted shingles."""
-    common, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
-    low, high = np.minimum(left[1][i], right[1][j]).sum(), np.maximum(left[1][i], right[1][j]).sum()
-    union = high + left[1].sum() - left[1][i].sum() + right[1].sum() - right[1][j].sum()
-    plain = len(left[0]) + len(right[0]) - len(common)
-    return (float(low / union), len(common) / plain) if plain else (0.0, 0.0)
+def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sorted sets of weighted shingles."""
+    _, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
+    low = np.minimum(left[1][i], right[1][j]).sum()
+    union = left[1].sum() + right[1].sum() - low
+    return float(low / union) if union else 0.0
 
 
 def _verifying(idf, params: NearDedupParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -163,7 +158,7 @@ def _verifying(idf, params: NearDedupParams) -> Callable[[Iterator[pa.RecordBatc
             for a, x, y in zip(batch["a"].to_pylist(), batch["text_a"].cast(pa.binary()), batch["text_b"].cast(pa.binary()), strict=True):
                 if last[0] != a:
                     last = (a, weights.of(x.as_py()))
-                linked.append(max(similarities(last[1], weights.of(y.as_py()))) >= params.similarity)
+                linked.append(similarity(last[1], weights.of(y.as_py())) >= params.similarity)
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
@@ -176,28 +171,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, params: NearDedupParams)
     return materialize(with_both.mapInArrow(_verifying(idf, params), "a bigint, b bigint"), "links")
 
 
-def _may_link(params: NearDedupParams) -> Column:
-    """False only for pairs that can't be linked: neither similarity exceeds the ratio of the sizes it is made of."""
-    ratio = lambda x: F.least(f"l.{x}", f"r.{x}") / F.greatest(f"l.{x}", f"r.{x}")
-    return F.greatest(ratio("size"), ratio("total")) >= params.similarity - 1e-6
+def prefix(hashes: np.ndarray, weights: np.ndarray, rarity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in order of ``rarity``, until the others weigh less than ``least`` of all, and what each weighs with all after it.
+
+    Two texts whose similarity is at least ``least`` share more than ``least`` of the weight
+    of either. So the first shingle that both have, in an order common to all texts, is in both prefixes.
+    """
+    order = np.lexsort((hashes, rarity))
+    rest = np.cumsum(weights[order][::-1])[::-1]
+    n = int(np.count_nonzero(rest >= least * rest[0] * (1 - 1e-9))) if len(rest) else 0
+    return hashes[order[:n]], rest[:n]
+
+
+def _prefixing(idf, params: NearDedupParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, counts = Weights(*idf.value, params), idf.value[0]
+        for batch in batches:
+            tokens, rests = [], []
+            for text in batch["text"].cast(pa.binary()):
+                hashes, w = weights.of(text.as_py())
+                first, rest = prefix(hashes, w, counts[feature(hashes, params)], params.similarity)
+                tokens.append(first.view(np.int64))
+                rests.append(rest)
+            made = [pa.array(tokens, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["root"], *made], names=["node", "root", "tokens", "rests"])
+
+    return run
 
 
-def _across(crowds: DataFrame, rooted: DataFrame, nodes: DataFrame, params: NearDedupParams) -> DataFrame:
-    """All pairs (a, b) of nodes that share a key of ``crowds`` (key, node) but no root of ``rooted``, and may be linked.
+def _across(crowds: DataFrame, rooted: DataFrame, texts: DataFrame, idf, params: NearDedupParams) -> DataFrame:
+    """Pairs (a, b) of nodes from keys of ``crowds`` (key, node) with several roots of ``rooted``: all that can be linked and have different roots.
 
-    The members of a key are dealt into blocks, and each pair of blocks is joined by itself.
+    They share a shingle of their prefixes, and no more can be common than what follows it in either of them.
     """
-    member = crowds.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    blocks = F.ceil(F.col("n") / params.block).cast("int")
-    member = member.join(mixed.select("key", blocks.alias("blocks")), "key").join(nodes.select("node", "size", "total"), "node")
-    member = materialize(member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowds")
-    left = member.select("*", F.explode(F.expr("sequence(own, blocks - 1)")).alias("other")).alias("l")
-    right = member.select("*", F.explode(F.expr("sequence(0, own)")).alias("other")).alias("r")
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
-    met &= (F.col("l.root") != F.col("r.root")) & ((F.col("l.own") < F.col("r.own")) | (F.col("l.node") < F.col("r.node")))
-    pairs = left.join(right.hint("merge"), met & _may_link(params))
-    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    member = crowds.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left_over = member.join(mixed, "key").select("node", "root").distinct()
+    own = texts.join(left_over.hint("merge"), "node").select("node", "root", "text")
+    prefixes = own.mapInArrow(_prefixing(idf, params), "node bigint, root bigint, tokens array<bigint>, rests array<double>")
+    entry = prefixes.withColumn("total", F.get("rests", F.lit(0))).select("node", "root", "total", F.explode(F.arrays_zip("tokens", "rests")).alias("t")).select("node", "root", "total", F.col("t.tokens").alias("token"), F.col("t.rests").alias("rest"))
+    entry = materialize(entry, "prefixes")
+    shared = params.similarity / (1 + params.similarity) * (F.col("l.total") + F.col("r.total")) * (1 - 1e-9)
+    met = (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))
+    pairs = entry.alias("l").join(entry.alias("r").hint("merge"), met & (F.least("l.rest", "r.rest") >= shared))
+    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def _merged(rooted: DataFrame, links: DataFrame) -> DataFrame:
@@ -231,9 +248,9 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     with a null doc_id have a null class. Other columns play no role.
 
     The first candidates are (node, first node) and (node, last node) of each band
-    key: as many pairs as it has nodes. All other pairs of a key follow, but for
-    those whose ends are joined by then or whose sizes exclude a link. A key whose
-    members stay unlike each other costs the square of their number.
+    key: as many pairs as it has nodes. The members of keys that are not in one
+    component by then are joined on the rarest shingles of each, with bounds that
+    no link escapes; what many of them share, as a passage or a line, is not among these.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -241,9 +258,9 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     counts, total = document_frequencies(given, params)
     idf = spark.sparkContext.broadcast((counts, total))
     keyed = given.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), "text")
-    sampled = materialize(keyed.mapInArrow(_sampling(idf, params), "doc_id bigint, same string, bands array<bigint>, size bigint, total double"), "bands")
+    sampled = materialize(keyed.mapInArrow(_sampling(idf, params), "doc_id bigint, same string, bands array<bigint>"), "bands")
     named = sampled.where("doc_id IS NOT NULL AND bands IS NOT NULL")
-    nodes = materialize(named.groupBy("same").agg(F.min(F.struct("doc_id", "bands", "size", "total")).alias("first")).select("same", F.col("first.doc_id").alias("node"), "first.bands", "first.size", "first.total"), "nodes")
+    nodes = materialize(named.groupBy("same").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("same", F.col("first.doc_id").alias("node"), "first.bands"), "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("key"))
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members")).where("low < high")
@@ -256,8 +273,8 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     pairs = materialize(pairs, "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # never a broadcast: the nodes that are in some pair grow with the corpus
-    texts = given.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node").join(involved.hint("merge"), "node")
-    texts = materialize(texts, "texts")
+    texts = keyed.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node").join(involved.hint("merge"), "node")
+    texts = materialize(texts.dropDuplicates(["node", "same"]).select("node", "text"), "texts")
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     links = _verified(best, texts, idf, params)
@@ -267,7 +284,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     rooted = _merged(rooted, _verified(rest, texts, idf, params))
     # of up to three members, the first and the last have met all
-    others = _across(found.where("members > 3").select("key", "node"), rooted, nodes, params).join(pairs, ["a", "b"], "left_anti")
+    others = _across(found.where("members > 3").select("key", "node"), rooted, texts, idf, params).join(pairs, ["a", "b"], "left_anti")
     rooted = _merged(rooted, _verified(materialize(others, "pairs"), texts, idf, params))
 
     classes = nodes.select("same", "node").join(rooted, "node", "left").select("same", F.coalesce("root", "node").alias("class_id"))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leafline.llm.lm_score import LmParams, LogBilinear, Vocabulary, lm_scores
-from leafline.llm.near_dedup import NearDedupParams, Sampler, Weights, near_duplicates
+from leafline.llm.near_dedup import NearDedupParams, Sampler, Weights, near_duplicates, prefix, similarity
 from leafline.llm.pii import PiiParams, estimate_reliabilities, pii_digest, pii_spans
 from leafline.llm.secret_scan import best_window_entropy, secret_digest, secret_scan
 from leafline.llm.shingles import shingle_hashes
@@ -181,6 +181,26 @@ def test_near_copies_that_share_a_hot_passage(spark):
     assert len(set(got.values())) == 150
 
 
+def test_prefixes_lose_no_link():
+    """Any two sets of weighted shingles at 0.8 or more share one of their prefixes, with enough weight after it in both."""
+    rng, least = np.random.default_rng(8), 0.8
+    rarity = rng.integers(0, 50, 4_000)
+    linked = 0
+    for _ in range(300):
+        common = rng.choice(4_000, int(rng.integers(5, 200)), replace=False)
+        sides = []
+        for _ in range(2):
+            own = np.union1d(common, rng.integers(0, 4_000, int(rng.integers(0, 1 + len(common) // 5)))).astype(np.uint64)
+            sides.append((own, 1 + rng.random(4_000)[own] * 0.2))
+        if similarity(*sides) >= least:
+            linked += 1
+            (a, x), (b, y) = (prefix(h, w, rarity[h.astype(int)], least) for h, w in sides)
+            both, i, j = np.intersect1d(a, b, return_indices=True)
+            need = least / (1 + least) * (x[0] + y[0])
+            assert len(both) and (np.minimum(x[i], y[j]) >= need * (1 - 1e-9)).any()
+    assert linked > 50
+
+
 def test_neighbours_are_ranked_by_all_terms_of_the_seed():
     from leafline.llm.packing import Index, PackingParams
 
