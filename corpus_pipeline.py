@@ -13,7 +13,7 @@ from leafline.llm.common import materialize, table
 from leafline.llm.decontaminate import RESULT, decontaminate
 from leafline.llm.near_dedup import near_duplicates
 from leafline.llm.packing import pack, packing_digest
-from leafline.llm.pii import pii_spans, redacted
+from leafline.llm.pii import redacted
 from leafline.llm.quality_rules import quality_rules
 
 
@@ -23,9 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near-duplicates; documents without an id stay."""
-    gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """The first row of each class of near-duplicates, whatever ids rows share.
+
+    Rows are numbered by their place in the files of ``docs``, which every scan gives alike.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    classes = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_row"))
+    return numbered.join(gone.hint("merge"), "_row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Consistent sampling, the label model and the tokenizer can't be expressed in SQL; see tests/llm/test_pipeline.py.
+#: Consistent sampling, the label model and the tokenizer can't be expressed in SQL; see tests/llm/test_methods.py.
 ORACLE_SQL: str | None = None
 
 
