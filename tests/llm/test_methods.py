@@ -202,7 +202,7 @@ def test_prefixes_lose_no_link():
 
 
 def test_neighbours_are_ranked_by_all_terms_of_the_seed():
-    from leafline.llm.packing import Index, PackingParams
+    from leafline.llm.packing import Corpus, Index, PackingParams
 
     rng, p = np.random.default_rng(6), PackingParams()
     docs = [np.minimum(rng.zipf(1.3, int(n)), 3_000).astype("<u4") for n in rng.integers(50, 900, 120)]
@@ -211,13 +211,16 @@ def test_neighbours_are_ranked_by_all_terms_of_the_seed():
     for t in terms:
         for x in t:
             df[x] = df.get(x, 0) + 1
-    index, unused = Index(docs, p), np.arange(120) % 5 > 0
+    counts = np.array([df.get(x, 0) for x in range(3_001)])
+    corpus = Corpus.of(counts, 120, sum(map(len, docs)))
+    unused = np.arange(120) % 5 > 0
+    index = Index(docs, corpus, p)
     for seed in range(0, 120, 7):
         want = np.zeros(120)
         for i, t in enumerate(terms):
             norm = p.k1 * (1 - p.b + p.b * len(docs[i]) / mean)
             want[i] = unused[i] * sum(math.log1p((120 - df[x] + 0.5) / (df[x] + 0.5)) * t[x] * (p.k1 + 1) / (t[x] + norm) for x in terms[seed] if x in t)
-        got = index.neighbours(seed, unused)
+        got = list(index.neighbours(seed, unused))
         assert set(got) == set(np.flatnonzero(want))
         assert np.allclose(want[got], np.sort(want[want > 0])[::-1], rtol=1e-4)
 
