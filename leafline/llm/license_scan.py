@@ -19,6 +19,17 @@ SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense-domain": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "mpl-2-form": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "boost-ref": "distributed under the boost software license version 1 0",
+    "epl-2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
     "apache-2-ref": "licensed under the apache license version 2 0",
     "apache-2-header": "licensed under the apache license version 2 0 the license",
     "apache-2-comply": "you may not use this file except in compliance with the license",
@@ -26,12 +37,27 @@ SENTENCES = {
     "apache-2-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-2-limits": "see the license for the specific language governing permissions and limitations under the license",
     "gpl-3-ref": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-program": "this program is free software",
+    "gpl-2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-3-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-library": "this library is free software",
+    "lgpl-2-1-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "lgpl-details": "see the gnu lesser general public license for more details",
     "gpl-details": "see the gnu general public license for more details",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "cc-by-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc-by-ref": "licensed under cc by 4 0",
     "cc-by-sa-ref": "licensed under cc by sa 4 0",
     "cc-by-nc-ref": "licensed under cc by nc 4 0",
@@ -43,16 +69,39 @@ SENTENCES = {
 RULES = [
     ("Apache-2.0", ["apache-2-header", "apache-2-comply", "apache-2-copy", "apache-2-as-is", "apache-2-limits"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-details"]),
+    ("GPL-3.0-or-later", ["gpl-program", "gpl-3-terms", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("GPL-2.0-or-later", ["gpl-program", "gpl-2-terms", "gpl-hope", "gpl-implied", "gpl-details"]),
+    ("AGPL-3.0-or-later", ["gpl-program", "agpl-3-terms", "gpl-hope", "gpl-implied", "agpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl-library", "lgpl-3-terms", "lgpl-hope", "gpl-implied", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl-library", "lgpl-2-1-terms", "lgpl-hope", "gpl-implied", "lgpl-details"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Unlicense", ["unlicense-domain", "unlicense-anyone"]),
+    ("MPL-2.0", ["mpl-2-form", "mpl-2-copy"]),
     ("Apache-2.0", ["apache-2-header", "apache-2-comply"]),
+    ("ISC", ["isc-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("Unlicense", ["unlicense-domain"]),
+    ("MPL-2.0", ["mpl-2-form"]),
     ("MIT", ["mit-ref"]),
     ("MIT", ["mit-ref-licensed"]),
     ("Apache-2.0", ["apache-2-ref"]),
     ("Apache-2.0", ["apache-2-header"]),
     ("GPL-3.0-only", ["gpl-3-ref"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-3.0-or-later", ["gpl-3-terms"]),
+    ("GPL-2.0-or-later", ["gpl-2-terms"]),
+    ("AGPL-3.0-or-later", ["agpl-3-terms"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-terms"]),
+    ("LGPL-2.1-or-later", ["lgpl-2-1-terms"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source"]),
+    ("CC-BY-4.0", ["cc-by-work"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-work"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-work"]),
+    ("BSL-1.0", ["boost-ref"]),
+    ("EPL-2.0", ["epl-2-terms"]),
     ("CC-BY-4.0", ["cc-by-ref"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-ref"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-ref"]),
@@ -62,8 +111,8 @@ RULES = [
 ]
 #: Ends of sentences: lines without letters and digits, and marks before white space or the end of the text.
 BREAK = r"(?>\r\n|[\n\r])[^a-zA-Z0-9\n\r]*[\n\r]+|[.;:!?]+(?:[\x20\t]+|(?=[\n\r])|$)"
-#: Every known sentence has one of these, so a text without any needs no cutting.
-TRIGGER = r"(?i)licen|permission|rights reserved|redistribut|warrant|free software|confidential|cc0"
+#: Every known sentence has one of these words, so a text without any needs no cutting.
+TRIGGER = r"(?i)licen|permission|reserved|redistribut|warrant|software|confidential|cc0"
 
 
 def _identifiers(text: Column) -> Column:

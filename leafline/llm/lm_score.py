@@ -1,20 +1,26 @@
 """Log-bilinear language model, trained with noise-contrastive estimation, and scores of whole texts.
 
-The vocabulary of the model is the end of a text, the most frequent words, and
-one class for all others. A word of that class is scored by the class and by its
-smoothed share in it, so probabilities are normalised over all words.
+The outputs of the model are the end of a text, the most frequent words, and
+classes of all other words by their last letters. A word of such a class is scored
+by the class and by its smoothed share in it. So every word gets a probability
+from the model, and probabilities are normalised over all words.
+
+Training takes several rounds. In each, shards of documents, dealt by a hash of
+their content, start from the same model, and the average of theirs starts the next.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.common import bounded_batches, materialize
@@ -22,23 +28,29 @@ from leafline.llm.common import bounded_batches, materialize
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text; no word is empty.
 END = b""
-BLOCKS = 16
+BLOCKS = 64
 
 
 @dataclass(frozen=True)
 class LmParams:
-    """``classes``: words with an output of their own. ``head_words``: words whose counts are broadcast;
-    counts of all others are joined. ``noise``: samples that a minibatch shares.
+    """``classes``: words with an output of their own; ``tail_classes``: outputs of all others, by their last ``suffix`` bytes.
+
+    ``head_words``: words whose counts are broadcast; counts of all others are joined.
+    ``noise``: samples that a minibatch shares. ``shard_tokens``: training tokens of a shard in a round, on average.
     """
 
     folds: int = 5
     held_out_fold: int = 1
     classes: int = 1_022
+    tail_classes: int = 512
+    suffix: int = 3
     head_words: int = 100_000
     dim: int = 32
     batch: int = 4_096
     noise: int = 32
     rate: float = 0.08
+    rounds: int = 4
+    shard_tokens: int = 500_000
     seed: int = 5
     flush_words: int = 300_000
 
@@ -65,28 +77,54 @@ def _counting(params: LmParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def tail_class(word: bytes, params: LmParams) -> int:
+    return zlib.crc32(word[-params.suffix :]) % params.tail_classes
+
+
+def tail_class_column(word: Column, params: LmParams) -> Column:
+    """:func:`tail_class` in Spark."""
+    return F.pmod(F.crc32(F.substring(word, -params.suffix, params.suffix)), F.lit(params.tail_classes)).cast("int")
+
+
 class Vocabulary:
-    """Counts of the end and of the head words; classes 0: end, 1 to n: words, n + 1: any other, n + 2: before the start."""
+    """Counts of the end and of the head words; classes 0: end, 1 to n: words, from n + 1 on: classes of all others.
+
+    As context all classes from n + 1 on are one, and n + 2 stands before the start.
+    ``sums``: tokens and distinct words of each tail class, named words included.
+    """
 
-    def __init__(self, end: int, head: list[tuple[bytes, int]], tokens: int, words: int, params: LmParams):
+    def __init__(self, end: int, head: list[tuple[bytes, int]], tokens: int, words: int, sums: dict[int, tuple[int, int]], params: LmParams):
         self.rank = {w: i + 1 for i, (w, _) in enumerate(head)}
         self.count = np.array([end, *(n for _, n in head)], np.float64)
-        named = min(params.classes, len(head))
-        self.other, self.start = named + 1, named + 2
-        self.cls = np.minimum(np.arange(len(self.count)), self.other)
+        self.named = named = min(params.classes, len(head))
+        self.other, self.start, self.params = named + 1, named + 2, params
+        self.cls = np.array([*range(named + 1), *(self.other + tail_class(w, params) for w, _ in head[named:])], np.int64)
         self.total = tokens + 0.5 * (words + 1)
-        in_classes, known = self.count[: self.other].sum(), named + (end > 0)
-        self.other_total = tokens - in_classes + 0.5 * (words - known + 1)
-        share = np.append(self.count[: self.other] + 0.5, max(tokens - in_classes, 0) + 0.5)
+        inside = np.zeros((params.tail_classes, 2))
+        for k, pair in sums.items():
+            inside[k] += pair
+        for w, n in head[:named]:
+            inside[tail_class(w, params)] -= (n, 1)
+        self.tail_total = inside[:, 0] + 0.5 * (inside[:, 1] + 1)
+        share = np.concatenate([self.count[: self.other], inside[:, 0]]) + 0.5
         self.unigram = share / share.sum()
+        self.base = np.log10((self.count + 0.5) / self.total)
+        self.inside = np.zeros(len(self.count))
+        self.inside[self.other :] = np.log10((self.count[self.other :] + 0.5) / self.tail_total[self.cls[self.other :] - self.other])
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Rank of each word, -1 outside the head; 0, the end, comes last."""
         get = self.rank.get
         return np.array([*(get(w, -1) for w in words), 0], np.int64)
 
-    def classes(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where(ranks < 0, self.other, self.cls[ranks])
+    def classes(self, ranks: np.ndarray, tail: list[bytes]) -> np.ndarray:
+        """``tail``: the words outside the head, in order."""
+        out = self.cls[ranks]
+        out[ranks < 0] = [self.other + tail_class(w, self.params) for w in tail]
+        return out
+
+    def context(self, classes: np.ndarray) -> np.ndarray:
+        return np.minimum(classes, self.other)
 
 
 class LogBilinear:
@@ -94,10 +132,10 @@ class LogBilinear:
 
     def __init__(self, vocabulary: Vocabulary, params: LmParams):
         rng = np.random.default_rng(params.seed)
-        self.n = len(vocabulary.unigram)
+        self.n, self.width = len(vocabulary.unigram), vocabulary.start + 1
         self.log_noise = np.log(params.noise * vocabulary.unigram).astype(np.float32)
         self.cumulative = np.cumsum(vocabulary.unigram)
-        self.shapes = {"context": (self.n + 1, params.dim), "place": (2, params.dim), "word": (self.n, params.dim), "bias": (self.n, 1)}
+        self.shapes = {"context": (self.width, params.dim), "place": (2, params.dim), "word": (self.n, params.dim), "bias": (self.n, 1)}
         self.p = {
             "context": rng.normal(0, 0.1, self.shapes["context"]).astype(np.float32),
             "place": np.full(self.shapes["place"], 0.5, np.float32),
@@ -105,17 +143,19 @@ class LogBilinear:
             "bias": np.log(vocabulary.unigram).astype(np.float32)[:, None],
         }
         self.squares = {k: np.full(s, 1e-6, np.float32) for k, s in self.shapes.items()}
-        self.params, self.start = params, vocabulary.start
+        self.params = params
         self.log_z: np.ndarray | None = None
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.shapes])
+        """Weights, then the sums of squares that set the rate of each."""
+        return np.concatenate([x[k].ravel() for x in (self.p, self.squares) for k in self.shapes])
 
     def load(self, flat: np.ndarray) -> LogBilinear:
         at = 0
-        for k, s in self.shapes.items():
-            self.p[k] = flat[at : at + s[0] * s[1]].reshape(s).astype(np.float32)
-            at += s[0] * s[1]
+        for x in (self.p, self.squares):
+            for k, s in self.shapes.items():
+                x[k] = flat[at : at + s[0] * s[1]].reshape(s).astype(np.float32)
+                at += s[0] * s[1]
         return self
 
     def hidden(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -147,7 +187,7 @@ class LogBilinear:
         """Natural logarithms. The normalising sum over all classes is one matrix product
         per block of contexts; contexts that came before keep theirs.
         """
-        width = self.n + 1
+        width = self.width
         if self.log_z is None:
             self.log_z = np.full(width * width, np.nan, np.float32)
         code = first * width + second
@@ -171,36 +211,55 @@ def _scatter(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     total[here[starts]] += np.add.reduceat(rows[order], starts, 0)
 
 
-def contexts(classes: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contexts(classes: list[np.ndarray], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word before, word before that, word) of all texts, one after the other."""
     word = np.concatenate(classes)
-    before = np.concatenate([np.concatenate([[start], c[:-1]]) for c in classes])
-    earlier = np.concatenate([np.concatenate([[start, start], c[:-2]])[: len(c)] for c in classes])
+    before, earlier = np.empty_like(word), np.empty_like(word)
+    before[1:], earlier[2:] = word[:-1], word[:-2]
+    starts = np.cumsum([0, *map(len, classes[:-1])])
+    before, earlier = known.context(before), known.context(earlier)
+    before[starts] = earlier[starts] = known.start
+    second = starts + 1
+    earlier[second[second < len(word)]] = known.start  # of a text of one token it is the next one's start
     return before, earlier, word
 
 
-def _training(vocabulary, params: LmParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _classes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in batch["classes"]]
+
+
+def _training(vocabulary, weights, seed: int, params: LmParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each partition trains on all of its texts from the same start; the models' weighted sums come out in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rng = vocabulary.value, np.random.default_rng(params.seed)
-        model, tokens, waiting = LogBilinear(known, params), 0, []
-        for batch in batches:
-            classes = [known.classes(known.ranks(words_of(t))) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            if not classes:
-                continue
-            data = contexts(classes, known.start)
+        known, rng = vocabulary.value, np.random.default_rng(seed)
+        model, tokens = LogBilinear(known, params).load(weights.value), 0
+        waiting: list[np.ndarray] = []
+        size = 0
+
+        def learn() -> int:
+            data = contexts(waiting, known)
             order = rng.permutation(len(data[0]))
             for a in range(0, len(order), params.batch):
                 i = order[a : a + params.batch]
                 model.step(data[0][i], data[1][i], data[2][i], rng)
-            tokens += len(order)
-        flat = model.flat().astype(np.float64) * tokens
-        parts = np.array_split(flat, BLOCKS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(BLOCKS), pa.int32()), pa.array([tokens] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-            names=["block", "tokens", "weights"],
-        )
+            return len(order)
+
+        for batch in batches:
+            for one in _classes(batch):
+                waiting.append(one)
+                size += len(one)
+                if size >= 2 * params.shard_tokens:  # a bounded number of tokens at a time
+                    tokens += learn()
+                    waiting, size = [], 0
+        if waiting:
+            tokens += learn()
+        if tokens:
+            parts = np.array_split(model.flat().astype(np.float64) * tokens, BLOCKS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(BLOCKS), pa.int32()), pa.array([tokens] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["block", "tokens", "weights"],
+            )
 
     return run
 
@@ -221,14 +280,24 @@ def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def train(docs: DataFrame, vocabulary, params: LmParams) -> np.ndarray:
-    """Parameters averaged over the partitions by their tokens; only the average comes to the driver."""
-    schema = "block int, tokens bigint, weights binary"
-    rows = docs.select("text").mapInArrow(_training(vocabulary, params), schema).repartition(BLOCKS, "block").mapInArrow(_adding, schema).collect()
-    tokens = rows[0]["tokens"] if rows else 0
-    if not tokens:
-        return LogBilinear(vocabulary.value, params).flat()
-    return np.concatenate([np.frombuffer(r["weights"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]) / tokens
+def train(encoded: DataFrame, tokens: int, vocabulary, params: LmParams) -> np.ndarray:
+    """Parameters after all rounds; only averages, weighted by tokens, come to the driver.
+
+    Shards and their order follow from the documents alone, and not from files or partitions.
+    """
+    spark, schema = encoded.sparkSession, "block int, tokens bigint, weights binary"
+    weights = LogBilinear(vocabulary.value, params).flat()
+    shards = max(1, tokens // (params.rounds * params.shard_tokens))
+    dealt = encoded.where("NOT held_out").select("classes", F.xxhash64("doc_id", "classes").alias("deal"))
+    dealt = dealt.withColumn("shard", F.pmod(F.shiftright("deal", 8), F.lit(shards)))
+    for i in range(params.rounds):
+        start = spark.sparkContext.broadcast(weights)
+        own = dealt.where(F.pmod("deal", F.lit(params.rounds)) == i).repartition(shards, "shard").sortWithinPartitions("shard", "deal", "classes")
+        models = own.select("classes").mapInArrow(_training(vocabulary, start, params.seed + i, params), schema)
+        rows = models.repartition(BLOCKS, "block").mapInArrow(_adding, schema).collect()
+        if rows:
+            weights = np.concatenate([np.frombuffer(r["weights"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]) / rows[0]["tokens"]
+    return weights
 
 
 def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -250,34 +319,42 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-_SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, tail array<binary>"
+_ENCODED = "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, inside double, classes binary, tail array<binary>"
+
+
+def _encoding(vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Classes of all tokens, sums over the words of the head, and the words outside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row = vocabulary.value, TaskContext.get().partitionId() << 40
+        seen = known.count > 0
+        for batch in batches:
+            sums: list[tuple] = []
+            for text in batch["text"].cast(pa.binary()).to_pylist():
+                words = words_of(text)
+                ranks = known.ranks(words)
+                tail = [w for w, r in zip(words, ranks.tolist(), strict=False) if r < 0]
+                head = ranks[ranks >= 0]
+                sums.append((row, len(ranks), int(seen[head].sum()), float(known.base[head].sum()), float(known.inside[head].sum()), known.classes(ranks, tail).astype("<u2").tobytes(), tail))
+                row += 1
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+            made = [pa.array(c, t) for c, t in zip(zip(*sums, strict=True), kinds, strict=True)] if sums else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *made], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "inside", "classes", "tail"])
+
+    return run
 
 
 def _scoring(vocabulary, weights, params: LmParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         model = LogBilinear(known, params).load(weights.value)
-        base = np.log10((known.count + 0.5) / known.total)
-        inside = np.where(known.cls == known.other, np.log10((known.count + 0.5) / known.other_total), 0.0)
         for batch in batches:
-            texts = [words_of(t) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            if not texts:
-                continue
-            ranks = [known.ranks(w) for w in texts]
-            flat = np.concatenate(ranks)
-            first, second, word = contexts([known.classes(r) for r in ranks], known.start)
-            score = model.log_probabilities(first, second, word) / math.log(10) + np.where(flat < 0, 0.0, inside[flat])
-            starts = np.cumsum([0, *map(len, ranks[:-1])])
-            tails = [[w for w, r in zip(ws, rs.tolist(), strict=False) if r < 0] for ws, rs in zip(texts, ranks, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"], batch["held_out"], pa.array([len(r) for r in ranks], pa.int64()),
-                    pa.array(np.add.reduceat((flat >= 0) & (known.count[flat] > 0), starts, dtype=np.int64), pa.int64()),
-                    pa.array(np.add.reduceat(np.where(flat < 0, 0.0, base[flat]), starts), pa.float64()),
-                    pa.array(np.add.reduceat(score, starts), pa.float64()), pa.array(tails, pa.list_(pa.binary())),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
-            )
+            classes = _classes(batch)
+            if classes:
+                score = model.log_probabilities(*contexts(classes, known)) / math.log(10)
+                starts = np.cumsum([0, *map(len, classes[:-1])])
+                names = [n for n in batch.schema.names if n != "classes"]
+                yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(np.add.reduceat(score, starts), pa.float64())], names=[*names, "model"])
 
     return run
 
@@ -301,18 +378,21 @@ def lm_scores(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     counts = materialize(counted, "counts")
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.where(F.col("word") == F.lit(END)).first()
-    known = Vocabulary(end["c"] if end else 0, frequent_words(counts, params.head_words), tokens, words, params)
+    classed = counts.where(F.col("word") != F.lit(END)).groupBy(tail_class_column(F.col("word"), params).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+    sums = {r["k"]: (r["n"], r["v"]) for r in classed.collect()}
+    known = Vocabulary(end["c"] if end else 0, frequent_words(counts, params.head_words), tokens, words, sums, params)
     vocabulary = spark.sparkContext.broadcast(known)
-    weights = spark.sparkContext.broadcast(train(training, vocabulary, params))
+    encoded = materialize(given.mapInArrow(_encoding(vocabulary), _ENCODED), "classes")
+    weights = spark.sparkContext.broadcast(train(encoded, tokens, vocabulary, params))
 
-    scored = given.mapInArrow(_scoring(vocabulary, weights, params), _SCORE_SCHEMA)
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
-    tail = scored.select("row", F.explode("tail").alias("word"))
-    log = lambda total: F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(total)))
+    scored = encoded.drop("tail").mapInArrow(_scoring(vocabulary, weights, params), "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, inside double, model double")
+    tail = encoded.select("row", F.explode("tail").alias("word"))
+    inside = F.element_at(F.array(*[F.lit(float(x)) for x in known.tail_total]), tail_class_column(F.col("word"), params) + 1)
+    log = lambda total: F.log10((F.coalesce("c", F.lit(0)) + 0.5) / total)
     joined = tail.join(counts.hint("merge"), "word", "left")
-    summed = joined.groupBy("row").agg(F.count("c").alias("k"), F.sum(log(known.total)).alias("b"), F.sum(log(known.other_total)).alias("s"))
+    summed = joined.groupBy("row").agg(F.count("c").alias("k"), F.sum(log(F.lit(float(known.total)))).alias("b"), F.sum(log(inside)).alias("s"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.drop("tail").join(summed, "row", "left").select(
+    return scored.join(summed, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"),
+        (F.col("base") + zero("b")).alias("base_score"), (F.col("model") + F.col("inside") + zero("s")).alias("score"),
     )

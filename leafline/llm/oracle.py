@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from leafline.llm.license_scan import RULES, SENTENCES
 from leafline.llm.preferences import CLOSE, LEARNED_ROLE, OPEN
-from leafline.llm.quality_rules import CHAR_CLASSES, COMMON_WORDS, OTHER, QualityParams, _pooled_words
+from leafline.llm.quality_rules import CHAR_CLASSES, COMMON_WORDS, OTHER, QualityParams, _pooled_words, prior
 from leafline.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, EntropyParams
 
 
@@ -17,8 +17,10 @@ def quality_rules_sql(params: QualityParams = QualityParams(), source: str = "do
     width = max(map(len, commons.values())) + 1
     count = lambda cls: f"length(regexp_replace(t, '[^{cls}]', '', 'g'))"
     lists = " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in commons.items())
-    sums = ", ".join(f"sum(chars[{i + 1}])::DOUBLE AS c{i}" for i in range(len(CHAR_CLASSES)))
-    sums += ", " + ", ".join(f"sum(hist[{i + 1}])::DOUBLE AS w{i}" for i in range(width))
+    priors = {k: prior(k, params) for k in commons}
+    of = lambda kind, i: "CASE ref " + " ".join(f"WHEN '{k}' THEN {x[kind][i]!r}::DOUBLE" for k, x in priors.items() if i < len(x[kind])) + " END"
+    sums = ", ".join(f"{of('chars', i)} + sum(chars[{i + 1}])::DOUBLE AS c{i}" for i in range(len(CHAR_CLASSES)))
+    sums += ", " + ", ".join(f"{of('words', i)} + sum(hist[{i + 1}])::DOUBLE AS w{i}" for i in range(width))
     rc = "[" + ", ".join(f"c{i}" for i in range(len(CHAR_CLASSES))) + "]"
     rw = "list_filter([" + ", ".join(f"w{i}" for i in range(width)) + "], lambda x: x IS NOT NULL)"
 
@@ -38,7 +40,7 @@ f AS (SELECT doc_id, ref, ws, len(ws) AS n_words, coalesce(list_sum(list_transfo
              list_transform(common, lambda c: len(list_filter(ws, lambda x: lower(x) = c))) AS hits FROM s),
 h AS (SELECT *, [greatest(n - (upper + digit + n - word_chars + punct + n_symbols + wide), 0), upper, digit, n - word_chars, punct, n_symbols, wide]::DOUBLE[] AS chars,
              list_append(hits, n_words - list_sum(hits))::DOUBLE[] AS hist FROM f),
-r AS (SELECT ref, {sums} FROM h GROUP BY ref HAVING sum(n_words) >= {params.min_reference_words}),
+r AS (SELECT ref, {sums} FROM h GROUP BY ref),
 refs AS (SELECT ref, {rc} AS rc, {rw} AS rw FROM r),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM
         (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, n_words - 3)) AS i FROM f WHERE n_words >= 5))),
@@ -110,7 +112,7 @@ dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (
     SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens WHERE len(ws) >= n)),
 m AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
 hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM m) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY doc_id)
+its AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
@@ -140,8 +142,13 @@ def preferences_sql(source: str = "conversations") -> str:
 {name} AS (SELECT pair_id, string_agg({turn}, '' ORDER BY k) AS body, coalesce(string_agg((e - length(text) - {len(CLOSE)})::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY k) FILTER (role = '{LEARNED_ROLE}'), '') AS mask
     FROM (SELECT *, (sum(length({turn})) OVER (PARTITION BY pair_id ORDER BY k))::BIGINT AS e FROM t JOIN shared USING (pair_id) WHERE side = {parity} AND k > n) GROUP BY pair_id)"""
     return f"""
-WITH t AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+WITH own AS (SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, (conv_id % 2 + 2) % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NULL, turn, coalesce(role, 'unknown'), coalesce(text, '')) AS k FROM {source} WHERE conv_id IS NOT NULL),
+ends AS (SELECT pair_id, max(k) FILTER (side = 0 AND role = '{LEARNED_ROLE}') AS la, max(k) FILTER (side = 1 AND role = '{LEARNED_ROLE}') AS lb FROM own GROUP BY pair_id),
+t AS (SELECT pair_id, 0 AS side, role, text, k FROM own WHERE side = 0
+    UNION ALL SELECT pair_id, 1, role, text, k FROM own JOIN ends USING (pair_id) WHERE la IS NOT NULL AND lb IS NOT NULL AND side = 0 AND k < la
+    UNION ALL SELECT pair_id, 1, role, text, la FROM own JOIN ends USING (pair_id) WHERE la IS NOT NULL AND lb IS NOT NULL AND side = 1 AND k = lb
+    UNION ALL SELECT pair_id, 1, role, text, k FROM own JOIN ends USING (pair_id) WHERE (la IS NULL OR lb IS NULL) AND side = 1),
 sizes AS (SELECT pair_id, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM t GROUP BY pair_id),
 unequal AS (SELECT pair_id, k FROM t GROUP BY pair_id, k HAVING count(DISTINCT side) < 2 OR count(DISTINCT (role, text)) > 1),
 shared AS (SELECT s.pair_id, a > 0 AND b > 0 AS paired, CASE WHEN a > 0 AND b > 0 THEN coalesce(min(k) - 1, a) ELSE 0 END AS n

@@ -89,13 +89,23 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     return out.select("pair_id", "paired", F.col("x.n").alias("n_shared"), "x.prompt", "x.chosen", "x.rejected")
 
 
-def consecutive_pairs(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) as pair k; a pair may lack a side."""
-    turns = turns_of(conversations).withColumn("pair_id", F.expr("cast(floor(conv_id / 2) AS bigint)"))
+def variant_endings(conversations: DataFrame) -> DataFrame:
+    """Pairs (pair_id, chosen, rejected): conversation 2k, and the same one with a reply that isn't its own.
+
+    The rejected side has the turns of 2k up to its last turn of the assistant, and
+    in place of that the last one of conversation 2k + 1. If either of them has no such
+    turn, the rejected side is conversation 2k + 1 as it is. A pair may lack a side.
+    """
+    turns = turns_of(conversations).withColumn("pair_id", F.shiftright("conv_id", 1))
     is_chosen = F.pmod("conv_id", F.lit(2)) == 0
-    return turns.groupBy("pair_id").agg(
-        F.max(F.when(is_chosen, F.col("turns"))).alias("chosen"), F.max(F.when(~is_chosen, F.col("turns"))).alias("rejected")
+    pairs = turns.groupBy("pair_id").agg(
+        F.max(F.when(is_chosen, F.col("turns"))).alias("chosen"), F.max(F.when(~is_chosen, F.col("turns"))).alias("other")
     )
+    last = lambda name: F.array_max(F.transform(F.col(name), lambda t, i: F.when(t["role"] == LEARNED_ROLE, i + 1)))
+    found = pairs.withColumn("at", last("chosen")).withColumn("reply", F.get("other", last("other") - 1))
+    changed = F.concat(F.slice("chosen", F.lit(1), F.col("at") - 1), F.array("reply"))
+    rejected = F.when(F.col("at").isNotNull() & F.col("reply").isNotNull(), changed).otherwise(F.col("other"))
+    return found.select("pair_id", "chosen", rejected.alias("rejected"))
 
 
 def preference_digest(formatted: DataFrame) -> DataFrame:

@@ -20,6 +20,16 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
 }
+#: About how frequent those words are in each language, in their order.
+COMMON_SHARES = {
+    "en": [0.060, 0.030, 0.028, 0.026, 0.021, 0.022, 0.010, 0.011, 0.010, 0.007, 0.009, 0.007],
+    "fr": [0.050, 0.029, 0.025, 0.024, 0.020, 0.018, 0.014, 0.011, 0.009, 0.011, 0.009, 0.008],
+    "de": [0.033, 0.033, 0.028, 0.019, 0.014, 0.010, 0.011, 0.012, 0.009, 0.008, 0.010, 0.008],
+    "es": [0.058, 0.037, 0.032, 0.030, 0.027, 0.027, 0.021, 0.017, 0.013, 0.012, 0.011, 0.010],
+}
+#: About how frequent the classes of characters are, and bytes beyond one per character in each language.
+CLASS_SHARES = [0.77, 0.03, 0.005, 0.16, 0.025, 0.0005]
+WIDE_SHARES = {"en": 0.0, "fr": 0.03, "de": 0.02, "es": 0.02}
 #: The pooled reference of documents in any other language, or in none.
 OTHER = "other"
 CHAR_CLASSES = ["lower", "upper", "digit", "space", "punct", "symbol", "wide"]
@@ -32,7 +42,8 @@ class QualityParams:
     ``min_*``: shorter documents are not compared; their histograms say too little.
     ``max_word_distance`` has to be below the distance of a text without any common
     word, which is 0.305 where these are 17% of all words, and reaches it at about 14%.
-    ``min_reference_words``: a language with fewer words in the corpus has no reference of its own.
+    ``prior_words``: words of the fixed reference that are added to those of the corpus in each language,
+    with ``prior_chars`` characters; so a language has a reference however little there is of it.
     """
 
     min_words: int = 10
@@ -41,7 +52,8 @@ class QualityParams:
     min_words_compared: int = 60
     max_char_distance: float = 0.30
     max_word_distance: float = 0.27
-    min_reference_words: int = 10_000
+    prior_words: float = 1_000.0
+    prior_chars: float = 6_000.0
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -73,6 +85,15 @@ def _pooled_words() -> list[str]:
     return sorted({x for common in COMMON_WORDS.values() for x in common})
 
 
+def prior(ref: str, params: QualityParams) -> dict[str, list[float]]:
+    """The fixed reference of a language; the pooled one is the mean of all."""
+    langs = [ref] if ref in COMMON_WORDS else sorted(COMMON_WORDS)
+    words = COMMON_WORDS.get(ref, _pooled_words())
+    shares = [sum(s for x in langs for w, s in zip(COMMON_WORDS[x], COMMON_SHARES[x], strict=True) if w == word) / len(langs) for word in words]
+    chars = [*CLASS_SHARES, sum(WIDE_SHARES[x] for x in langs) / len(langs)]
+    return {"chars": [params.prior_chars * x for x in chars], "words": [params.prior_words * x for x in (*shares, 1 - sum(shares))]}
+
+
 def among(common: list[str]) -> Callable[[Column], Column]:
     return lambda x: F.lower(x).isin(common)
 
@@ -153,26 +174,22 @@ def _histograms(f: DataFrame) -> DataFrame:
     )
 
 
-def language_references(hist: DataFrame, params: QualityParams) -> dict[str, dict[str, list[int]]]:
-    """Summed histograms of each language over the whole corpus.
+def language_references(hist: DataFrame, params: QualityParams) -> dict[str, dict[str, list[float]]]:
+    """Histograms of each language, summed over the whole corpus and the fixed reference.
 
     At most five rows (the languages of COMMON_WORDS and the pooled rest) reach the driver.
     """
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CHAR_CLASSES))]
     width = max(len(_pooled_words()), *map(len, COMMON_WORDS.values())) + 1
     sums += [F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(width)]
-    rows = hist.groupBy("ref").agg(F.sum("n_words").alias("n"), *sums).collect()
+    rows = hist.groupBy("ref").agg(*sums).collect()
     return {
-        r["ref"]: {
-            "chars": [r[f"c{i}"] for i in range(len(CHAR_CLASSES))],
-            "words": [x for i in range(width) if (x := r[f"w{i}"]) is not None],
-        }
+        r["ref"]: {kind: [x + r[f"{kind[0]}{i}"] for i, x in enumerate(own)] for kind, own in prior(r["ref"], params).items()}
         for r in rows
-        if r["n"] >= params.min_reference_words
     }
 
 
-def js_distance(counts: Column, reference: list[int]) -> Column:
+def js_distance(counts: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance, base 2, between the shares of ``counts`` and of ``reference``; null if either is empty."""
     total = float(sum(reference))
     if not total:
@@ -204,7 +221,7 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), carr
     judged one by one. An empty table gives an empty result.
 
     The features of all documents are written once to the shared folder; the
-    references are sums over them. Columns of ``docs`` named in ``carry`` are written
+    references are sums over them and a small fixed reference of each language. Columns of ``docs`` named in ``carry`` are written
     with them and come out as one struct, ``carried``; so each row keeps its own
     verdict, whatever its doc_id.
     """

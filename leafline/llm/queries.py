@@ -14,7 +14,7 @@ from leafline.llm.lm_score import lm_scores
 from leafline.llm.near_dedup import near_duplicates
 from leafline.llm.packing import pack, packing_digest
 from leafline.llm.pii import pii_digest, pii_spans
-from leafline.llm.preferences import consecutive_pairs, format_preferences, preference_digest
+from leafline.llm.preferences import format_preferences, preference_digest, variant_endings
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
 from leafline.llm.suffix_dedup import repeated_bytes, repeated_bytes_digest
@@ -59,7 +59,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_digest(format_preferences(consecutive_pairs(table(spark, sf_dir, "conversations"))))
+    return preference_digest(format_preferences(variant_endings(table(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 from math import log2, sqrt
 
-from leafline.llm.quality_rules import COMMON_WORDS, OTHER, QualityParams, _pooled_words
+from leafline.llm.quality_rules import COMMON_WORDS, OTHER, QualityParams, _pooled_words, prior
 
 
 def luhn(digits):
@@ -50,7 +50,8 @@ def repeated_words(words):
 
 def quality_kept(docs, p=QualityParams()):
     """doc_ids that the quality rules keep; ``docs``: (doc_id, text, lang)."""
-    commons, hists, sums, counts = {**COMMON_WORDS, OTHER: _pooled_words()}, {}, {}, Counter()
+    commons, hists = {**COMMON_WORDS, OTHER: _pooled_words()}, {}
+    sums = {k: tuple(prior(k, p).values()) for k in commons}
     for i, text, lang in docs:
         ref, words = lang if lang in COMMON_WORDS else OTHER, words_of(text)
         n = lambda cls, text=text: len(re.findall(cls, text))
@@ -59,9 +60,7 @@ def quality_kept(docs, p=QualityParams()):
         chars = [max(len(text) - upper - digit - space - punct - symbol - wide, 0), upper, digit, space, punct, symbol, wide]
         hits = [sum(w.lower() == c for w in words) for c in commons[ref]]
         hists[i] = (ref, words, len(text), chars, [*hits, len(words) - sum(hits)])
-        old = sums.setdefault(ref, ([0] * 7, [0] * (len(commons[ref]) + 1)))
-        sums[ref] = tuple([a + b for a, b in zip(x, y, strict=True)] for x, y in zip(old, hists[i][3:], strict=True))
-        counts[ref] += len(words)
+        sums[ref] = tuple([a + b for a, b in zip(x, y, strict=True)] for x, y in zip(sums[ref], hists[i][3:], strict=True))
 
     def distance(a, b):
         if not sum(a) or not sum(b):
@@ -75,7 +74,7 @@ def quality_kept(docs, p=QualityParams()):
     kept = set()
     for i, (ref, words, size, chars, hist) in hists.items():
         bad = len(words) < p.min_words or 100 * repeated_words(words) > p.max_repeat_percent * len(words)
-        if not bad and size >= p.min_chars_compared and len(words) >= p.min_words_compared and counts[ref] >= p.min_reference_words:
+        if not bad and size >= p.min_chars_compared and len(words) >= p.min_words_compared:
             bad = distance(chars, sums[ref][0]) > p.max_char_distance or distance(hist, sums[ref][1]) > p.max_word_distance
         if not bad:
             kept.add(i)

@@ -8,13 +8,13 @@ from collections import Counter
 import pytest
 
 from leafline.llm import queries as registered
-from leafline.llm.decontaminate import contamination_digest, decontaminate
+from leafline.llm.decontaminate import DecontaminationParams, contamination_digest, decontaminate
 from leafline.llm.license_scan import license_digest, license_scan
 from leafline.llm.lm_score import LmParams, lm_scores
 from leafline.llm.near_dedup import near_duplicates
 from leafline.llm.packing import pack, packing_digest
 from leafline.llm.pii import pii_digest, pii_spans, redacted
-from leafline.llm.preferences import consecutive_pairs, format_preferences, preference_digest
+from leafline.llm.preferences import format_preferences, preference_digest, variant_endings
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
 from leafline.llm.suffix_dedup import repeated_bytes, repeated_bytes_digest
@@ -143,6 +143,18 @@ def test_benchmark_windows(spark):
     assert not any(r.contaminated for r in decontaminate(docs, benchmark(spark)).collect())
 
 
+def test_benchmark_in_parts_and_blocks(spark):
+    """A benchmark of many blocks, an item longer than a block, and an item without an id."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[100:112])), (2, " ".join(words[5:16])), (None, "n1 n2 n3"), (3, " ".join(words))]
+    docs = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 15])) for i in range(30)] + [(99, "x n1 n2 n3 w1")], "doc_id bigint, text string")
+    whole = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, benchmark(spark, rows)).collect()}
+    small = DecontaminationParams(block_bytes=700, chunk=20)
+    parts = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, benchmark(spark, rows), small).collect()}
+    assert whole == parts
+    assert whole[10] == (15, ["1", "2", "3"]) and whole[20] == (15, ["1", "3"]) and whole[99] == (3, [])
+
+
 def test_personal_data_is_replaced(spark):
     docs = spark.createDataFrame([(1, "mail me@site.org or +1 (555) 123-4567, v1.2.3", 44), (2, None, None), (3, "plain", 5)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: r for r in redacted(docs).collect()}
@@ -155,19 +167,23 @@ CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string, pair_id
 
 def test_preferences(spark):
     rows = [
-        (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, None, None),
+        (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "other"), (1, 1, "assistant", "no"), (1, 2, None, None),
         (2, 0, "user", "alone"), (4, 0, "user", "same"), (5, 0, "user", "same"), (None, 0, "user", "lost"), (6, 0, "user", "b"), (6, 0, "user", "a"),
+        (8, 0, "user", "q"), (8, 1, "assistant", "a"), (8, 2, "user", "r"), (8, 3, "assistant", "b"), (8, 4, "user", "s"), (9, 0, "user", "t"), (9, 1, "assistant", "a"),
+        (-1, 0, "user", "odd"), (-2, 0, "assistant", "even"),
     ]
     table = spark.createDataFrame([(*r, "clash") for r in rows], CONVERSATIONS)
-    got = {r.pair_id: r for r in preference_digest(format_preferences(consecutive_pairs(table))).collect()}
-    assert set(got) == {0, 1, 2, 3}
+    got = {r.pair_id: r for r in preference_digest(format_preferences(variant_endings(table))).collect()}
+    assert set(got) == {-1, 0, 1, 2, 3, 4}
+    assert got[4].n_shared == 3 and got[4].chosen.count("im_start") == 2 and got[4].chosen_mask.count(":") == 1
+    assert got[-1].paired and got[-1].n_shared == 0 and "odd" in got[-1].rejected
     assert got[0].n_shared == 1 and got[0].prompt == "<|im_start|>user\nhi<|im_end|>\n"
     start, end = map(int, got[0].chosen_mask.split(":"))
-    assert got[0].chosen[start:end] == "yes<|im_end|>\n" and got[0].rejected.endswith("<|im_start|>unknown\n<|im_end|>\n")
+    assert got[0].chosen[start:end] == "yes<|im_end|>\n" and got[0].rejected == "<|im_start|>assistant\nno<|im_end|>\n"
     assert not got[1].paired and got[1].n_shared == 0 and got[1].rejected == ""
     assert got[2].n_shared == 1 and got[2].chosen == got[2].rejected == ""
     assert got[3].chosen.index("a<") < got[3].chosen.index("b<")
-    assert preference_digest(format_preferences(consecutive_pairs(spark.createDataFrame([], CONVERSATIONS)))).count() == 0
+    assert preference_digest(format_preferences(variant_endings(spark.createDataFrame([], CONVERSATIONS)))).count() == 0
 
 
 def test_every_operator_is_registered():

@@ -4,13 +4,16 @@ import hashlib
 import math
 import os
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafline.llm.lm_score import LmParams, LogBilinear, Vocabulary, lm_scores
+from leafline.llm.lm_score import LmParams, LogBilinear, Vocabulary, lm_scores, tail_class
 from leafline.llm.near_dedup import NearDedupParams, Sampler, Weights, near_duplicates, prefix, similarity
 from leafline.llm.pii import PiiParams, estimate_reliabilities, pii_digest, pii_spans
 from leafline.llm.secret_scan import best_window_entropy, secret_digest, secret_scan
@@ -95,13 +98,20 @@ def test_shingles_are_equal_where_words_are():
 
 def test_model_is_normalised_and_learns(spark):
     words = [(w.encode(), 50 - i) for i, w in enumerate("abcdefgh")]
-    known = Vocabulary(20, words, 400, 12, LmParams(classes=6))
-    model = LogBilinear(known, LmParams(classes=6, dim=8))
+    p = LmParams(classes=6, tail_classes=4, dim=8)
+    sums = {}
+    for w, n in words:
+        old = sums.get(tail_class(w, p), (0, 0))
+        sums[tail_class(w, p)] = (old[0] + n, old[1] + 1)
+    known = Vocabulary(20, words, 20 + sum(n for _, n in words), 9, sums, p)
+    model = LogBilinear(known, p)
     n = model.n
     first, second = np.full(n, 2), np.full(n, 3)
     assert np.exp(model.log_probabilities(first, second, np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
-    others = known.count[known.cls == known.other]
-    assert ((others + 0.5) / known.other_total).sum() < 1
+    for k in range(p.tail_classes):
+        own = known.cls == known.other + k
+        # what is missing is the share of one unknown word
+        assert (10 ** known.inside[own]).sum() == pytest.approx(1 - 0.5 / known.tail_total[k])
 
     rng = random.Random(1)
     texts = [" ".join("ab cd"[3 * (k % 2) : 3 * (k % 2) + 2] if rng.random() < 0.9 else "ef" for k in range(200)) for _ in range(60)]
@@ -110,6 +120,25 @@ def test_model_is_normalised_and_learns(spark):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_base_scores_and_layout(spark):
+    """Base columns against a plain count; the model's scores don't depend on files or partitions."""
+    texts = soup(9, ["The", "the", "cat\n", "sat", "é", "on ", "", "mat.", "\t"], 60)
+    rows = [*enumerate(texts), (70, None), (71, ""), (None, "the cat")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    p = LmParams(classes=3, tail_classes=4, head_words=4, batch=64, shard_tokens=100)
+    got = {r.doc_id: r for r in lm_scores(docs.repartition(3), p).collect()}
+    other = {r.doc_id: r for r in lm_scores(docs.coalesce(1), p).collect()}
+    words = lambda t: [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [""]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows}
+    count = Counter(w for i, t in rows if not held[i] for w in words(t))
+    n, v = sum(count.values()), len(count)
+    for i, t in rows:
+        r, ws = got[i], words(t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(count[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
+        assert r.score == pytest.approx(other[i].score, rel=1e-6)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_links_against_brute_force(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -241,7 +270,7 @@ def test_quality_rejects_texts_without_common_words(spark):
 def test_wrapped_licenses_are_found(spark):
     from textwrap import fill
 
-    from leafline.llm.license_scan import license_scan
+    from leafline.llm.license_scan import RULES, SENTENCES, TRIGGER, license_scan
 
     mit = [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
@@ -253,8 +282,18 @@ def test_wrapped_licenses_are_found(spark):
         "http://www.apache.org/licenses/LICENSE-2.0",
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ]
+    gpl = [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ]
+    bsd = [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ]
     texts, want = [], []
-    for parts, name, n in ((mit, "MIT", 3), (apache, "Apache-2.0", 5)):
+    for parts, name, n in ((mit, "MIT", 3), (apache, "Apache-2.0", 5), (gpl, "GPL-3.0-or-later", 5), (bsd, "BSD-3-Clause", 4)):
         for width in (30, 72, 80):
             for mark in ("", "# ", " * ", "// "):
                 for end in ("\n", "\r\n"):
@@ -263,6 +302,10 @@ def test_wrapped_licenses_are_found(spark):
                     want.append(([name], n))
     texts += ["Some words\nLicensed under CC BY 4.0\nother words", "Released under the\n\nMIT License.", "Released under the\nMIT License. All rights\nreserved."]
     want += [(["CC-BY-4.0"], 1), ([], 0), (["LicenseRef-Rights-Reserved", "MIT"], 2)]
+    texts.append("All rights  reserved.")
+    want.append((["LicenseRef-Rights-Reserved"], 1))
+    assert all(re.search(TRIGGER, x) for x in SENTENCES.values())
+    assert {x for _, rule in RULES for x in rule} <= set(SENTENCES)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: (r.licenses, len(r.sentences)) for r in license_scan(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
