@@ -112,7 +112,7 @@ RULES = [
 #: Ends of sentences: lines without letters and digits, and marks before white space or the end of the text.
 BREAK = r"(?>\r\n|[\n\r])[^a-zA-Z0-9\n\r]*[\n\r]+|[.;:!?]+(?:[\x20\t]+|(?=[\n\r])|$)"
 #: Every known sentence has one of these words, so a text without any needs no cutting.
-TRIGGER = r"(?i)licen|permission|reserved|redistribut|warrant|software|confidential|cc0"
+TRIGGER = r"(?i)licen|permission|reserved|redistribut|warrant|software|confidential|mozilla|cc0"
 
 
 def _identifiers(text: Column) -> Column:
