@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def normalized(text: Column) -> Column:
-    """Lower case, with runs of anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    """Lower case, with runs of anything but letters and digits, of any script, as one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
 def char_similarity(a: Column, b: Column) -> Column:

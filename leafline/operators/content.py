@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions.geometry import Box, gap_1d, overlap_1d
 from leafline.functions.text import caption_kind, glyph_width, hash_bucket
+from leafline.operators.pages import by_page
 
 
 def element_roles(elements: DataFrame, page_height: float) -> DataFrame:
@@ -95,30 +96,47 @@ def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def tree_preorder(nodes: DataFrame) -> DataFrame:
-    """Pre-order of trees (page, node, parent, pos): paths from the roots by a recursive query, then a rank."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_tree_nodes")
-    walked = spark.sql("""
-        WITH RECURSIVE walk(page, node, depth, path) AS (
-            SELECT page, node, 0, array(pos) FROM _tree_nodes WHERE parent IS NULL
-            UNION ALL
-            SELECT n.page, n.node, w.depth + 1, concat(w.path, array(n.pos)) FROM walk w JOIN _tree_nodes n ON n.page = w.page AND n.parent = w.node)
-        SELECT * FROM walk""")
-    place = F.row_number().over(Window.partitionBy("page").orderBy("path", "node")).cast("bigint")
-    return walked.select("page", "node", F.col("depth").cast("bigint").alias("depth"), place.alias("place"))
-
-
-def anchor_paths(edges: DataFrame, anchors: DataFrame, most: int = 12) -> DataFrame:
-    """Pairs of anchors (page, idx) between which a path of at most ``most`` edges leads that passes no other anchor."""
-    spark = edges.sparkSession
-    edges.select("page", "source", "target").createOrReplaceTempView("_path_edges")
-    anchors.select("page", "idx").createOrReplaceTempView("_path_anchors")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(page, origin, node, steps) AS (
-            SELECT e.page, e.source, e.target, 1 FROM _path_edges e JOIN _path_anchors a ON a.page = e.page AND a.idx = e.source
-            UNION ALL
-            SELECT r.page, r.origin, e.target, r.steps + 1 FROM reach r JOIN _path_edges e ON e.page = r.page AND e.source = r.node
-            LEFT ANTI JOIN _path_anchors x ON x.page = r.page AND x.idx = r.node
-            WHERE r.steps < {most})
-        SELECT r.page, r.origin, r.node AS reached, cast(min(r.steps) AS bigint) AS steps
-        FROM reach r JOIN _path_anchors a ON a.page = r.page AND a.idx = r.node GROUP BY r.page, r.origin, r.node""")
+    """Pre-order of the trees of each page (page, node, parent, pos): children by pos, then number; nodes that no root leads to are left out."""
+
+    def run(page: dict[str, list]) -> list[list]:
+        children: dict[int | None, list[int]] = {}
+        for node, parent in zip(page["node"], page["parent"], strict=True):
+            children.setdefault(parent, []).append(node)
+        out, stack, seen = [], [(n, 0) for n in reversed(children.get(None, []))], set()
+        while stack:
+            node, depth = stack.pop()
+            if node not in seen:
+                seen.add(node)
+                out.append((node, depth, len(out) + 1))
+                stack += [(n, depth + 1) for n in reversed(children.get(node, []))]
+        return [list(c) for c in zip(*out, strict=True)]
+
+    return by_page(nodes.select("page", "node", "parent", "pos"), ["pos", "node"], run, "page bigint, node bigint, depth bigint, place bigint")
+
+
+def anchor_paths(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Pairs of anchors (page, idx) between which a path of edges leads that passes no other anchor, with its least number of steps."""
+    marked = edges.select("page", "source", "target").join(anchors.select("page", F.col("idx").alias("source"), F.lit(True).alias("from_anchor")), ["page", "source"], "left")
+    marked = marked.join(anchors.select("page", F.col("idx").alias("target"), F.lit(True).alias("to_anchor")), ["page", "target"], "left")
+
+    def run(page: dict[str, list]) -> list[list]:
+        after: dict[int, list[tuple[int, bool]]] = {}
+        for s, t, stop in zip(page["source"], page["target"], page["to_anchor"], strict=True):
+            after.setdefault(s, []).append((t, bool(stop)))
+        out = []
+        for origin in sorted({s for s, a in zip(page["source"], page["from_anchor"], strict=True) if a}):
+            steps, front, seen, reached = 0, [origin], set(), {}
+            while front:
+                steps, ahead = steps + 1, []
+                for node in front:
+                    for target, stop in after.get(node, ()):
+                        if stop:
+                            reached.setdefault(target, steps)
+                        elif target not in seen:
+                            seen.add(target)
+                            ahead.append(target)
+                front = ahead
+            out += [(origin, target, n) for target, n in sorted(reached.items())]
+        return [list(c) for c in zip(*out, strict=True)]
+
+    return by_page(marked, ["source", "target"], run, "page bigint, origin bigint, reached bigint, steps bigint")

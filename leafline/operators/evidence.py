@@ -111,17 +111,22 @@ def zone(y0: Column, y1: Column, page_height: float) -> Column:
 
 
 def _matched_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, for which SQL has no function."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+    """Share of characters in matching blocks, for which SQL has no function; null where either text is."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """1 if equal, 0 if one is empty, 1 if a longer text holds one of four or more letters; else the matched share."""
+    """Of texts in lower case with single spaces: 1 if equal, or if one holds the other; else the share of characters in matching blocks.
+
+    0 if one is empty, or if they differ and one has fewer than two letters and digits. Only
+    texts that are not decided by that are compared in Python.
+    """
     matched_ratio = F.pandas_udf(_matched_ratio, "double")
-    return (
-        F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0)
-        .when((F.least(F.length(a), F.length(b)) >= 4) & (F.contains(a, b) | F.contains(b, a)), 1.0).otherwise(matched_ratio(a, b))
-    )
+    plain = lambda c: F.btrim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    x, y = plain(a), plain(b)
+    meaningful = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    decided = F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.least(meaningful(x), meaningful(y)) < 2, 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0)
+    return F.coalesce(decided, matched_ratio(F.when(decided.isNull(), x), F.when(decided.isNull(), y)))
 
 
 def style_ids(elements: DataFrame, signature: Column) -> DataFrame:

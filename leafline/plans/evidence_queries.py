@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafline.functions.text import hash_bucket, normalized
+from leafline.functions.text import hash_bucket
 from leafline.operators import content, evidence, learned, metrics, order, strategies
 from leafline.plans.layout_queries import Query, _el, _visual
 from leafline.sources import layout
@@ -106,7 +106,7 @@ def relation_quality(spark, d):
 
 @query
 def line_edit_distance(spark, d):
-    e = _el(spark, d).where("idx < 200")
+    e = _el(spark, d)
     noisy = order.visual_order(layout.provider(e, 2))
     return evidence.line_edit_distance(e.select("page", F.col("idx").alias("place"), "text"), noisy.select("page", F.col("visual_rank").alias("place"), "text"))
 
@@ -212,6 +212,8 @@ def weighted_means(spark, d):
 
 @query
 def text_similarity(spark, d):
-    e = content.pseudo_translation(_el(spark, d)).select("page", "idx", normalized(F.substring("text", 1, 60)).alias("b"))
-    both = _el(spark, d).select("page", "idx", normalized(F.substring("text", 5, 50)).alias("a")).join(e, ["page", "idx"])
+    """Each line against its pseudo-translation, and every third one against the line after it."""
+    other = content.pseudo_translation(_el(spark, d)).select("page", "idx", F.col("text").alias("b"))
+    after = _el(spark, d).select("page", (F.col("idx") - 1).alias("idx"), F.col("text").alias("c"))
+    both = _el(spark, d).join(other, ["page", "idx"]).join(after, ["page", "idx"], "left").select("page", "idx", F.col("text").alias("a"), F.when(F.col("idx") % 3 == 0, F.coalesce("c", F.lit(""))).otherwise(F.col("b")).alias("b"))
     return both.select("page", "idx", F.round(evidence.text_similarity(F.col("a"), F.col("b")), 8).alias("similarity"))

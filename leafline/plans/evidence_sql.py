@@ -44,7 +44,7 @@ ORACLES: dict[str, str] = {
     "relation_quality": q(EL, VO, BF, edges("bf", "flow_rank", "t0"), "t AS (SELECT * FROM t0 WHERE source % 3 <> 0)", "l AS (SELECT page, source AS idx FROM t UNION SELECT page, target FROM t)",
         "n AS (SELECT l.page, l.idx, visual_rank AS at, row_number() OVER (PARTITION BY l.page ORDER BY visual_rank) AS n FROM l JOIN vo ON vo.page = l.page AND vo.idx = l.idx)",
         "SELECT t.page, count(*) AS edges, count(*) FILTER (a.at < b.at) AS precedence, count(*) FILTER (b.n = a.n + 1) AS successor FROM t JOIN n a ON a.page = t.page AND a.idx = source JOIN n b ON b.page = t.page AND b.idx = target GROUP BY t.page"),
-    "line_edit_distance": q(EL.replace("FROM el0)", "FROM el0 WHERE idx < 200)"), provider(2), visual("pv"), "b AS (SELECT page, 'a' AS s, idx AS p, text FROM el UNION ALL SELECT page, 'b', visual_rank, text FROM vo)",
+    "line_edit_distance": q(EL, provider(2), visual("pv"), "b AS (SELECT page, 'a' AS s, idx AS p, text FROM el UNION ALL SELECT page, 'b', visual_rank, text FROM vo)",
         "c AS (SELECT page, s, p, chr(19968 + (dense_rank() OVER (PARTITION BY page ORDER BY text))::INT) AS c FROM b)",
         "d AS (SELECT page, string_agg(c, '' ORDER BY p) FILTER (s = 'a') AS a, coalesce(string_agg(c, '' ORDER BY p) FILTER (s = 'b'), '') AS b FROM c GROUP BY page)",
         # DuckDB's levenshtein works on bytes; a distinct character takes three of them, so lists are compared here by a table of prefixes

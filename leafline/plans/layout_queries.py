@@ -173,9 +173,9 @@ def caption_targets(spark, d):
 @query
 def endpoint_resolution(spark, d):
     e = _el(spark, d)
-    keys = e.select("page", F.concat(F.lit("k"), F.col("idx") % 7).alias("ref"), "idx").where("idx < 9")
-    aliases = e.select("page", F.concat(F.lit("k"), F.col("idx")).alias("ref"), "idx").where("idx BETWEEN 7 AND 9")
-    refs = e.select("page", F.concat(F.lit("k"), F.col("idx")).alias("ref")).where("idx < 12")
+    keys = e.where("idx % 4 <> 3").select("page", F.concat(F.lit("k"), F.floor(F.col("idx") / 2)).alias("ref"), "idx")
+    aliases = e.where("idx % 3 <> 0").select("page", F.concat(F.lit("k"), F.col("idx")).alias("ref"), "idx")
+    refs = e.select("page", F.concat(F.lit("k"), F.col("idx")).alias("ref"))
     return matching.resolved_endpoints(refs, keys, aliases).withColumn("idx", F.coalesce("idx", F.lit(-1).cast("bigint")))
 
 
@@ -276,7 +276,7 @@ def shape_components(spark, d):
 
 @query
 def tree_preorder(spark, d):
-    e = _el(spark, d).where("idx < 60")
+    e = _el(spark, d)
     return content.tree_preorder(e.select("page", F.col("idx").alias("node"), F.when(F.col("idx") > 0, F.floor((F.col("idx") - 1) / 3)).alias("parent"), F.col("idx").alias("pos")))
 
 
@@ -350,8 +350,7 @@ def token_f1(spark, d):
 def char_similarity_by_role(spark, d):
     e = content.pseudo_translation(_el(spark, d)).withColumnRenamed("text", "longer")
     both = _el(spark, d).join(e, ["page", "idx"])
-    plain = lambda c: normalized(F.substring(c, 1, 80))
-    return both.select("page", "idx", F.round(char_similarity(plain(F.col("text")), plain(F.col("longer"))), 8).alias("similarity"))
+    return both.select("page", "idx", F.round(char_similarity(normalized(F.col("text")), normalized(F.col("longer"))), 8).alias("similarity"))
 
 
 @query

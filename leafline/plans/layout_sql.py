@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 EL = """
-el0 AS (SELECT doc_id AS page, unnest(range(len(p))) AS idx, unnest(p) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+el1 AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+el0 AS (SELECT doc_id * 1000000 + pos // 104 AS page, pos % 104 AS idx, text FROM el1),
 el AS (SELECT page, idx::BIGINT AS idx, text, x::DOUBLE AS x0, y::DOUBLE AS y0, (x + w)::DOUBLE AS x1, (y + h)::DOUBLE AS y1 FROM (
     SELECT *, CASE WHEN idx % 9 = 0 THEN 36 ELSE 36 + (idx % 2) * 280 END AS x, 40 + 14 * (idx // 2) + idx % 3 AS y,
            CASE WHEN idx % 9 = 0 THEN 540 ELSE least(260, 6 * length(text)) END AS w, CASE WHEN idx % 9 = 0 THEN 24 WHEN idx % 9 = 8 THEN 8 ELSE 10 END AS h FROM el0))"""
@@ -73,7 +74,7 @@ sc AS (SELECT page, source, target, score, row_number() OVER (PARTITION BY page,
         + 0.2::DOUBLE * (1 / (1 + abs(a.x0 - b.x0) / 36)), 8) AS score
     FROM el a JOIN el b ON a.page = b.page AND a.idx <> b.idx WHERE b.y0 >= a.y0 AND b.y0 - a.y1 <= 198 AND (b.y0 > a.y0 OR b.x0 > a.x0)))"""
 
-NORMAL = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
+NORMAL = "trim(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 def q(*parts: str, recursive: bool = False) -> str:
@@ -136,8 +137,8 @@ ORACLES: dict[str, str] = {
         "n AS (SELECT *, row_number() OVER (PARTITION BY page, l ORDER BY iou DESC, r) AS f, row_number() OVER (PARTITION BY page, r ORDER BY iou DESC, l) AS g FROM m WHERE iou >= 0.45)", 'SELECT page, l AS "left", r AS "right", iou FROM n WHERE f = 1 AND g = 1'),
     "caption_targets": q(EL, "p AS (SELECT c.page, c.idx AS caption, t.idx AS target, greatest(0, greatest(c.y0, t.y0) - least(c.y1, t.y1)) AS dy, abs((c.x0 + c.x1) / 2 - (t.x0 + t.x1) / 2) AS dx FROM el c JOIN el t ON c.page = t.page WHERE c.idx % 9 = 0 AND t.idx % 9 = 3)",
         "SELECT page, caption, target FROM p WHERE dy <= 0.12 * 792 AND dx <= 0.35 * 612 QUALIFY row_number() OVER (PARTITION BY page, caption ORDER BY dy / 792.0::DOUBLE + dx / 612.0::DOUBLE, target) = 1"),
-    "endpoint_resolution": q(EL, "ks AS (SELECT page, 'k' || (idx % 7) AS ref, count(*) AS kn, min(idx) AS ki FROM el WHERE idx < 9 GROUP BY ALL)", "al AS (SELECT page, 'k' || idx AS ref, count(*) AS an, min(idx) AS ai FROM el WHERE idx BETWEEN 7 AND 9 GROUP BY ALL)",
-        "SELECT e.page, 'k' || e.idx AS ref, CASE WHEN kn = 1 THEN ki WHEN kn > 1 THEN -1 WHEN an = 1 THEN ai ELSE -1 END AS idx, CASE WHEN kn = 1 THEN 'key' WHEN kn > 1 THEN 'ambiguous key' WHEN an = 1 THEN 'alias' WHEN an > 1 THEN 'ambiguous alias' ELSE 'unresolved' END AS method FROM el e LEFT JOIN ks ON ks.page = e.page AND ks.ref = 'k' || e.idx LEFT JOIN al ON al.page = e.page AND al.ref = 'k' || e.idx WHERE e.idx < 12"),
+    "endpoint_resolution": q(EL, "ks AS (SELECT page, 'k' || (idx // 2) AS ref, count(*) AS kn, min(idx) AS ki FROM el WHERE idx % 4 <> 3 GROUP BY ALL)", "al AS (SELECT page, 'k' || idx AS ref, count(*) AS an, min(idx) AS ai FROM el WHERE idx % 3 <> 0 GROUP BY ALL)",
+        "SELECT e.page, 'k' || e.idx AS ref, CASE WHEN kn = 1 THEN ki WHEN kn > 1 THEN -1 WHEN an = 1 THEN ai ELSE -1 END AS idx, CASE WHEN kn = 1 THEN 'key' WHEN kn > 1 THEN 'ambiguous key' WHEN an = 1 THEN 'alias' WHEN an > 1 THEN 'ambiguous alias' ELSE 'unresolved' END AS method FROM el e LEFT JOIN ks ON ks.page = e.page AND ks.ref = 'k' || e.idx LEFT JOIN al ON al.page = e.page AND al.ref = 'k' || e.idx"),
     "mutual_neighbours": q(EL, "p AS (SELECT a.page, a.idx AS s, b.idx AS t, b.y0 - a.y1 AS gap, a.x0 AS ax, b.x0 AS bx FROM el a JOIN el b ON a.page = b.page AND a.idx <> b.idx WHERE b.y0 >= a.y1 AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY page, s ORDER BY gap, bx, t) AS d, row_number() OVER (PARTITION BY page, t ORDER BY gap, ax, s) AS u FROM p)", "SELECT page, s AS source, t AS target, gap FROM r WHERE d = 1 AND u = 1"),
     "topk_candidates": q(EL, SCORED, "SELECT * FROM sc WHERE rank <= 6"),
@@ -157,11 +158,11 @@ ORACLES: dict[str, str] = {
     "shape_components": q(EL, "p AS (SELECT a.page, a.idx AS s, b.idx AS t, b.y0 - a.y1 AS gap, a.x0 AS ax, b.x0 AS bx FROM el a JOIN el b ON a.page = b.page AND a.idx <> b.idx WHERE b.y0 >= a.y1 AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY page, s ORDER BY gap, bx, t) AS d, row_number() OVER (PARTITION BY page, t ORDER BY gap, ax, s) AS u FROM p)", "k AS (SELECT page, s, t FROM r WHERE d = 1 AND u = 1 AND gap <= 18 UNION SELECT page, t, s FROM r WHERE d = 1 AND u = 1 AND gap <= 18)",
         "w(page, node, seen) AS (SELECT DISTINCT page, s, s FROM k UNION SELECT w.page, w.node, k.t FROM w JOIN k ON k.page = w.page AND k.s = w.seen)", "SELECT page, node, min(seen) AS root FROM w GROUP BY page, node", recursive=True),
-    "tree_preorder": q(EL, "n AS (SELECT page, idx AS node, CASE WHEN idx > 0 THEN (idx - 1) // 3 END AS parent, idx AS pos FROM el WHERE idx < 60)",
+    "tree_preorder": q(EL, "n AS (SELECT page, idx AS node, CASE WHEN idx > 0 THEN (idx - 1) // 3 END AS parent, idx AS pos FROM el)",
         "w(page, node, depth, path) AS (SELECT page, node, 0, [pos] FROM n WHERE parent IS NULL UNION ALL SELECT n.page, n.node, depth + 1, list_append(path, pos) FROM w JOIN n ON n.page = w.page AND n.parent = w.node)",
         "SELECT page, node, depth::BIGINT AS depth, row_number() OVER (PARTITION BY page ORDER BY path, node) AS place FROM w", recursive=True),
     "anchor_paths": q(EL, VO, ED, "a AS (SELECT page, idx FROM el WHERE idx % 6 = 0)",
-        "w(page, origin, node, steps) AS (SELECT e.page, source, target, 1 FROM ed e JOIN a ON a.page = e.page AND a.idx = source UNION ALL SELECT w.page, origin, target, steps + 1 FROM w JOIN ed e ON e.page = w.page AND e.source = w.node WHERE steps < 12 AND w.node % 6 <> 0)",
+        "w(page, origin, node, steps) AS (SELECT e.page, source, target, 1 FROM ed e JOIN a ON a.page = e.page AND a.idx = source UNION ALL SELECT w.page, origin, target, steps + 1 FROM w JOIN ed e ON e.page = w.page AND e.source = w.node WHERE w.node % 6 <> 0)",
         "SELECT page, origin, node AS reached, min(steps)::BIGINT AS steps FROM w WHERE node % 6 = 0 GROUP BY ALL", recursive=True),
     "comembership_prf": q(EL, VO, "t AS (SELECT a.page, a.idx AS source, b.idx AS target FROM el a JOIN el b ON a.page = b.page AND a.idx < b.idx AND a.idx // 4 = b.idx // 4)",
         "f AS (SELECT a.page, a.idx AS source, b.idx AS target FROM vo a JOIN vo b ON a.page = b.page AND a.idx < b.idx AND (a.visual_rank - 1) // 4 = (b.visual_rank - 1) // 4)", prf("f", "t")),
@@ -181,8 +182,6 @@ ORACLES: dict[str, str] = {
     "token_f1": q(f"a AS (SELECT id, token, count(*) AS x FROM (SELECT item_id AS id, unnest(string_split({NORMAL.format('text')}, ' ')) AS token FROM benchmark) WHERE token <> '' GROUP BY ALL)",
         f"b AS (SELECT id, token, count(*) AS y FROM (SELECT doc_id AS id, unnest(string_split({NORMAL.format('text')}, ' ')) AS token FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)) WHERE token <> '' GROUP BY ALL)",
         "SELECT id, sum(least(coalesce(x, 0), coalesce(y, 0)))::BIGINT AS common, sum(coalesce(x, 0) + coalesce(y, 0))::BIGINT AS total, round(2 * sum(least(coalesce(x, 0), coalesce(y, 0))) / sum(coalesce(x, 0) + coalesce(y, 0)), 8) AS f1 FROM a FULL JOIN b USING (id, token) GROUP BY id"),
-    "char_similarity_by_role": q(EL, translated(), f"s AS (SELECT page, idx, {NORMAL.format('substring(el.text, 1, 80)')} AS a, {NORMAL.format('substring(tr.text, 1, 80)')} AS b FROM el JOIN tr USING (page, idx))",
-        "SELECT page, idx, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 8) AS similarity FROM s"),
     "degradation_signature": q(EL, degraded("c"), "r AS (SELECT page, round(count(*) FILTER (nz.text IS NULL) / count(*), 8) AS missing, round(count(*) FILTER (nz.text = '' AND el.text <> '') / count(*), 8) AS masked FROM el LEFT JOIN nz USING (page, idx) GROUP BY page)",
         "d AS (SELECT *, unnest([{'d': round(sqrt((missing * missing + masked * masked) / 2), 8), 'p': 'clean'}, {'d': round(sqrt(((missing - 0.08::DOUBLE) ** 2 + (masked - 0.03::DOUBLE) ** 2) / 2), 8), 'p': 'mild'}, {'d': round(sqrt(((missing - 0.2::DOUBLE) ** 2 + (masked - 0.1::DOUBLE) ** 2) / 2), 8), 'p': 'stress'}]) AS k FROM r)",
         "SELECT page, missing, masked, k.p AS profile, k.d AS distance FROM d QUALIFY row_number() OVER (PARTITION BY page ORDER BY k.d, k.p) = 1"),

@@ -87,12 +87,12 @@ def shape_classes(spark, d):
 
 @query
 def raster_pages(spark, d):
-    return shapes.raster_pages(_folded(spark, d), PAGE_WIDTH, PAGE_HEIGHT)
+    return shapes.raster_pages(_folded(spark, d), PAGE_WIDTH, PAGE_HEIGHT, 24, 4)
 
 
 @query
 def raster_tables(spark, d):
-    return shapes.raster_tables(_folded(spark, d).withColumn("cluster", F.floor(F.col("idx") / 40)), PAGE_WIDTH, PAGE_HEIGHT)
+    return shapes.raster_tables(_folded(spark, d).withColumn("cluster", F.floor(F.col("idx") / 40)), PAGE_WIDTH, PAGE_HEIGHT, 12)
 
 
 @query
@@ -200,7 +200,7 @@ def stream_types(spark, d):
 
 @query
 def point_lookup(spark, d):
-    return structure.point_lookup(_el(spark, d), 1, 0)
+    return structure.point_lookup(_el(spark, d), layout.MOST_PAGES, 0)
 
 
 @query

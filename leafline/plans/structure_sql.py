@@ -121,8 +121,8 @@ ORACLES: dict[str, str] = {
     "shape_classes": q(EL, FOLD, clusters("idx // 4"), """k AS (SELECT *, CASE WHEN members = 1 AND h + v = 1 AND greatest(w, ht) >= 24 AND greatest(w, ht) / greatest(0.1, least(w, ht)) >= 8 THEN 'separator'
         WHEN members >= 4 AND ((h >= 2 AND v >= 2) OR (b >= 4 AND cols >= 2 AND rows >= 2)) THEN 'table' WHEN w >= 24 AND ht >= 24 AND NOT (members = 1 AND h + v = 1) THEN 'figure' END AS kind FROM cl)""",
         "SELECT page, cluster, members, kind, CASE kind WHEN 'separator' THEN 0.9 WHEN 'table' THEN 0.86 WHEN 'figure' THEN CASE WHEN members = 1 THEN 0.76 ELSE 0.82 END END::DOUBLE AS confidence FROM k"),
-    "raster_pages": q(EL, FOLD, clusters("0"), f"SELECT page, members, {padded(2.0)} FROM cl WHERE members >= 120 AND h + v >= 20 AND w >= 80 AND ht >= 80 AND w * ht <= 0.7 * 612 * 792"),
-    "raster_tables": q(EL, FOLD, clusters("idx // 40"), f"SELECT page, cluster, members, {padded(1.5)} FROM cl WHERE members >= 24 AND ((h >= 4 AND v >= 4) OR (b >= 24 AND cols = 3 AND rows = 3)) AND w >= 80 AND ht >= 40 AND w * ht <= 0.65 * 612 * 792"),
+    "raster_pages": q(EL, FOLD, clusters("0"), f"SELECT page, members, {padded(2.0)} FROM cl WHERE members >= 24 AND h + v >= 4 AND w >= 80 AND ht >= 80 AND w * ht <= 0.7 * 612 * 792"),
+    "raster_tables": q(EL, FOLD, clusters("idx // 40"), f"SELECT page, cluster, members, {padded(1.5)} FROM cl WHERE members >= 12 AND ((h >= 4 AND v >= 4) OR (b >= 24 AND cols = 3 AND rows = 3)) AND w >= 80 AND ht >= 40 AND w * ht <= 0.65 * 612 * 792"),
     "image_coverage": q(EL, FOLD, "im AS (SELECT DISTINCT page, x0, y0, x1, y1 FROM fo WHERE idx % 3 = 0)",
         "SELECT page, round(least(1, sum((least(x1, 612) - least(x0, 612)) * (least(y1, 792) - least(y0, 792))) / (612 * 792)), 8) AS coverage FROM im GROUP BY page"),
     "shape_near_pairs": q(EL, """SELECT a.page, a.idx AS source, b.idx AS target FROM el a JOIN el b ON a.page = b.page AND a.idx < b.idx
@@ -160,7 +160,7 @@ ORACLES: dict[str, str] = {
         WHEN idx % 11 = 6 THEN 'table-island' WHEN idx % 11 = 7 THEN 'grid-island' WHEN idx % 9 = 8 THEN 'table-grid' ELSE 'body' END AS type,
         'segment-' || lpad((CASE WHEN idx % 2 = 0 THEN idx % 4 ELSE 0 END)::VARCHAR, 3, '0') AS seg FROM el)""",
         """SELECT page, idx, type, CASE WHEN type = 'body' THEN 'body-main' WHEN type IN ('table-island', 'grid-island') THEN type || '-' || seg WHEN starts_with(type, 'caption-') THEN type || CASE WHEN idx % 14 = 2 THEN '-target-fig-1' ELSE '-' || seg END ELSE type END AS stream FROM k"""),
-    "point_lookup": q(EL, "SELECT * FROM el WHERE page = 1 AND idx = 0"),
+    "point_lookup": q(EL, "SELECT * FROM el WHERE page = 1000000 AND idx = 0"),
     "normalized_ranks": q(EL, VO, BF, RANKS, "SELECT * FROM nr"),
     "pair_order_features": q(EL, VO, BF, FE, RANKS, "nn AS (SELECT page, count(*) AS n FROM el GROUP BY page)",
         f"SELECT e.page, e.source, e.target, {rounded(ORDER_FEATURES)} FROM {both('fe', ' JOIN nr an ON an.page = e.page AND an.idx = e.source JOIN nr bn ON bn.page = e.page AND bn.idx = e.target JOIN nn ON nn.page = e.page')}"),

@@ -34,11 +34,18 @@ def read_ocr_json(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("source", "page", "idx", "e.type", "e.text", "e.confidence", *corners)
 
 
+#: Lines that fit a page of the layout view, and pages that a document may have.
+PAGE_LINES, MOST_PAGES = 104, 1_000_000
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as elements of a page in two columns, with headings over both and small notes."""
-    lines = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "text")
-    )
+    """Lines of documents as elements of pages in two columns, with headings over both and small notes.
+
+    A document has as many pages as its lines need, numbered from ``doc_id * MOST_PAGES`` on.
+    """
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "text"))
+    page = F.col("doc_id") * MOST_PAGES + F.floor(F.col("pos") / PAGE_LINES)
+    lines = lines.select(page.cast("bigint").alias("page"), (F.col("pos") % PAGE_LINES).alias("idx"), "text")
     idx = F.col("idx")
     heading, note = idx % 9 == 0, idx % 9 == 8
     x0 = F.when(heading, 36).otherwise(36 + (idx % 2) * 280)
