@@ -88,11 +88,16 @@ def pseudo_translation(elements: DataFrame, ratio: float = 1.3) -> DataFrame:
 
 
 def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
-    """Elements with edited texts; an edit (page, idx, source_text, text) counts only if its source text is still there."""
-    joined = elements.join(edits.select("page", "idx", "source_text", F.col("text").alias("edited")), ["page", "idx"], "left")
-    valid = F.col("edited").isNotNull() & F.col("source_text").eqNullSafe(F.col("text"))
-    status = F.when(valid, "applied").when(F.col("edited").isNotNull(), "stale").otherwise("unchanged")
-    return joined.select("page", "idx", F.when(valid, F.col("edited")).otherwise(F.col("text")).alias("text"), status.alias("status"))
+    """Elements with edited texts; an edit (page, idx, source_text, text) counts only if its source text is still there.
+
+    An element stays one row whatever edits it has; of several that count the least text is taken. Null texts are empty.
+    """
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    one = edits.groupBy("page", "idx", plain("source_text").alias("source_text")).agg(F.min("text").alias("text"))
+    known = one.groupBy("page", "idx").agg(F.map_from_entries(F.collect_list(F.struct("source_text", "text"))).alias("edits"))
+    joined = elements.join(known, ["page", "idx"], "left").withColumn("edited", F.try_element_at("edits", plain("text")))
+    status = F.when(F.col("edited").isNotNull(), "applied").when(F.col("edits").isNotNull(), "stale").otherwise("unchanged")
+    return joined.select("page", "idx", F.coalesce("edited", "text").alias("text"), status.alias("status"))
 
 
 def tree_preorder(nodes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafline.functions.text import caption_kind
 from leafline.operators.pages import by_page
 
 BOXES = ["idx", "x0", "y0", "x1", "y1"]
@@ -278,3 +279,182 @@ def components(edges: DataFrame) -> DataFrame:
         return [nodes, [root(n) for n in nodes]]
 
     return by_page(edges.select("page", "source", "target"), ["source", "target"], run, "page bigint, node bigint, root bigint")
+
+
+def serialized_chains(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Order of all items (page, idx, rank): chains of edges (page, source, target) one after the other, by the rank of their heads.
+
+    Gives place, chain and the place in the chain. Edges are a path cover; items that only a cycle reaches follow by rank.
+    """
+    linked = ranked.join(edges.select("page", F.col("source").alias("idx"), "target"), ["page", "idx"], "left")
+
+    def run(page: dict[str, list]) -> list[list]:
+        after = {i: t for i, t in zip(page["idx"], page["target"], strict=True) if t is not None}
+        heads = [i for i in page["idx"] if i not in set(after.values())]
+        out, seen = [], set()
+        for chain, head in enumerate([*heads, *page["idx"]]):
+            node, pos = head, 0
+            while node is not None and node not in seen:
+                seen.add(node)
+                out.append((node, len(out) + 1, chain, pos))
+                node, pos = after.get(node), pos + 1
+        return [list(c) for c in zip(*out, strict=True)]
+
+    return by_page(linked.select("page", "idx", "rank", "target"), ["rank", "idx"], run, "page bigint, idx bigint, place bigint, chain bigint, pos bigint")
+
+
+def _median(values: list[float]) -> float:
+    v, n = sorted(values), len(values)
+    return (v[(n - 1) // 2] + v[n // 2]) / 2 if n else 0.0
+
+
+def _row(y: float) -> float:
+    return round(y / 6.0) * 6.0
+
+
+def spatial_graph_order(elements: DataFrame, page_width: float, page_height: float = 792.0) -> DataFrame:
+    """Order by the forest in which each element follows the nearest one above it that is in line with it; only of pages with clear columns.
+
+    A page counts if it has two or more chains of three elements, which hold 0.65 of all that are not
+    as wide as the page, lie 0.14 page widths apart and run side by side. Otherwise it gives no rows.
+    """
+
+    def in_line(a: tuple, b: tuple) -> tuple[bool, float, float]:
+        shared = max(0.0, min(a[3], b[3]) - max(a[1], b[1])) / max(1.0, min(a[3] - a[1], b[3] - b[1]))
+        apart = abs(a[1] + a[3] - b[1] - b[3]) / 2
+        reach = max(24.0, min(0.42 * max(a[3] - a[1], b[3] - b[1]), 0.12 * page_width))
+        return apart <= reach or (shared >= 0.65 and apart <= 0.16 * page_width), apart, shared
+
+    def run(page: dict[str, list]) -> list[list]:
+        everything = [(i, *box) for i, *box in zip(*(page[c] for c in ("idx", "x0", "y0", "x1", "y1")), strict=True)]
+        items = [e for e in everything if e[3] - e[1] >= 8 and e[4] - e[2] >= 4]
+        if len(items) < 8:
+            return []
+        line = _median([e[4] - e[2] for e in items])
+        far, box = max(0.08 * page_height, 6 * line), {e[0]: e for e in items}
+        visual = lambda i: (_row(box[i][2]), box[i][1], i)
+        above: dict[int, int] = {}
+        for e in items:
+            options = []
+            for f in items:
+                if f is not e and -0.25 * line <= e[2] - f[4] <= far:
+                    fits, apart, shared = in_line(f, e)
+                    if fits:
+                        options.append((max(0.0, e[2] - f[4]), apart, -shared, f[0]))
+            if options:
+                above[e[0]] = min(options)[3]
+        wide = {e[0] for e in items if e[3] - e[1] >= 0.62 * page_width}
+        narrow = [e[0] for e in items if e[0] not in wide]
+
+        def head(i: int) -> int:
+            path: list[int] = []
+            while i in above and above[i] not in wide:
+                if i in path:
+                    return min(path[path.index(i) :], key=visual)
+                path.append(i)
+                i = above[i]
+            return i
+
+        chains: dict[int, list[int]] = {}
+        for i in narrow:
+            chains.setdefault(head(i), []).append(i)
+        columns = sorted((c for c in chains.values() if len(c) >= 3), key=lambda c: sum(box[i][1] + box[i][3] for i in c) / len(c))
+        if len(narrow) < 6 or len(columns) < 2 or sum(map(len, columns)) < 0.65 * len(narrow):
+            return []
+        for a, b in zip(columns, columns[1:], strict=False):
+            center = lambda c: sum(box[i][1] + box[i][3] for i in c) / (2 * len(c))
+            (a0, a1), (b0, b1) = ((min(box[i][2] for i in c), max(box[i][4] for i in c)) for c in (a, b))
+            if center(b) - center(a) < 0.14 * page_width or min(a1, b1) - max(a0, b0) < 0.2 * max(1.0, min(a1 - a0, b1 - b0)):
+                return []
+        below: dict[int, list[int]] = {}
+        for child, parent in above.items():
+            below.setdefault(parent, []).append(child)
+        rows = max(4.0, 0.8 * line)
+        spatial = lambda i: (round(box[i][2] / rows), box[i][1], box[i][2], i)
+        out: list[int] = []
+        seen: set[int] = set()
+        for start in [*sorted((i for i in box if i not in above), key=spatial), *sorted(box, key=visual)]:
+            stack = [start]
+            while stack:
+                i = stack.pop()
+                if i not in seen:
+                    seen.add(i)
+                    out.append(i)
+                    stack += sorted(below.get(i, []), key=spatial, reverse=True)
+        out += [e[0] for e in sorted(everything, key=lambda e: (_row(e[2]), e[1], e[0])) if e[0] not in seen]
+        return [out, list(range(1, len(out) + 1))]
+
+    return by_page(elements.select("page", "idx", "x0", "y0", "x1", "y1"), ["y0", "x0", "idx"], run, "page bigint, idx bigint, place bigint")
+
+
+def footnotes(elements: DataFrame, page_height: float, page_width: float = 612.0) -> DataFrame:
+    """Elements of the small rows at the foot of a page, from the first row on that a gap parts from what is above.
+
+    Pages of fewer than eight elements, or four lines of body, have none. Rows as high as the body above them in its columns are body.
+    """
+    foot, end = max(0.72 * page_height, page_height - 220.0), max(0.92 * page_height, page_height - 42.0)
+
+    def run(page: dict[str, list]) -> list[list]:
+        items = [(i, *box) for i, *box in zip(*(page[c] for c in ("idx", "x0", "y0", "x1", "y1")), strict=True)]
+        height, width = lambda e: e[4] - e[2], lambda e: e[3] - e[1]
+        body = [height(e) for e in items if height(e) > 0 and width(e) >= 0.18 * page_width and (e[2] + e[4]) / 2 < 0.82 * page_height]
+        if len(items) < 8 or len(body) < 4:
+            return []
+        line = _median(body)
+        small = [e for e in items if foot <= e[2] < end and 2.5 <= height(e) <= max(5.0, 0.9 * line) and 4 <= width(e) <= 0.62 * page_width]
+        rows: list[list[tuple]] = []
+        for e in sorted(small, key=lambda e: (e[2], e[1], e[0])):
+            if rows and e[2] - rows[-1][0][2] <= max(3.0, 0.55 * line):
+                rows[-1].append(e)
+            else:
+                rows.append([e])
+        others = [e for e in items if e not in small]
+        for k, row in enumerate(rows):
+            top = min(e[2] for e in row)
+            gap = top - max((e[4] for e in others if e[4] <= top), default=0.0)
+            notes = [e for r in rows[k:] for e in r]
+            if gap < max(6.0, 0.65 * line) and top < 0.82 * page_height:
+                continue
+            if max(e[4] for e in notes) - min(e[2] for e in notes) > 0.18 * page_height or _median([width(e) for e in notes]) > 0.5 * page_width:
+                continue
+            rest = [e for e in items if e not in notes and height(e) > 0]
+            window = max(60.0, 8 * line)
+            like = sum(any(min(e[3], n[3]) > max(e[1], n[1]) and -1 <= n[2] - e[4] <= window and 0.87 <= height(n) / height(e) <= 1.15 for e in rest) for n in notes)
+            if len(rest) >= 8 and 5 * like >= 3 * len(notes):
+                continue
+            return [sorted(e[0] for e in notes)]
+        return []
+
+    return by_page(elements.select("page", "idx", "x0", "y0", "x1", "y1"), ["y0", "x0", "idx"], run, "page bigint, idx bigint")
+
+
+def caption_lines(elements: DataFrame, page_width: float = 612.0, page_height: float = 792.0, most: int = 2) -> DataFrame:
+    """Lines that begin a caption, with its kind, and up to ``most`` lines right below that go on with it."""
+    typed = elements.withColumn("kind", caption_kind(F.col("text"))).select("page", "idx", "x0", "y0", "x1", "y1", "kind")
+
+    def run(page: dict[str, list]) -> list[list]:
+        items = [(i, *box) for i, *box in zip(*(page[c] for c in ("idx", "x0", "y0", "x1", "y1")), strict=True)]
+        line = _median([e[4] - e[2] for e in items if e[4] > e[2]]) or 10.0
+
+        def plausible(e: tuple) -> bool:
+            fits = e[3] - e[1] >= max(28.0, 0.08 * page_width) and 0 < e[4] - e[2] <= max(28.0, 0.055 * page_height)
+            return fits and e[4] > min(0.06 * page_height, 42.0) and e[2] < max(0.92 * page_height, page_height - 42.0)
+
+        kinds = {e[0]: k for e, k in zip(items, page["kind"], strict=True) if k and plausible(e)}
+        order = sorted(items, key=lambda e: (_row(e[2]), e[1], e[0]))
+        out = {i: (k, i) for i, k in kinds.items()}
+        for anchor in [e for e in order if e[0] in kinds]:
+            bottom, found = anchor[4], 0
+            for e in order:
+                gap = e[2] - bottom
+                if found == most or gap > max(4.0, 0.85 * line):
+                    break
+                shared = max(0.0, min(anchor[3], e[3]) - max(anchor[1], e[1])) / max(1.0, min(anchor[3] - anchor[1], e[3] - e[1]))
+                aligned = shared >= 0.5 or abs(e[1] - anchor[1]) <= max(14.0, 0.025 * page_width)
+                sized = 0 < e[4] - e[2] <= max(28.0, 1.55 * line) and e[3] - e[1] >= max(24.0, 0.08 * page_width)
+                if e[0] not in out and gap >= -0.25 * line and aligned and sized:
+                    out[e[0]], found, bottom = (kinds[anchor[0]], anchor[0]), found + 1, max(bottom, e[4])
+        rows = sorted((i, k, a) for i, (k, a) in out.items())
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    return by_page(typed, ["y0", "x0", "idx"], run, "page bigint, idx bigint, kind string, anchor bigint")

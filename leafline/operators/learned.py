@@ -80,6 +80,13 @@ def top_edges(edges: DataFrame, threshold: float) -> DataFrame:
 
 
 def fold_of(df: DataFrame, key: str, stratum: str, folds: int) -> DataFrame:
-    """Folds by round-robin in the order of a hash inside each stratum."""
-    at = F.row_number().over(Window.partitionBy(stratum).orderBy(F.sha2(F.col(key).cast("string"), 256), key))
-    return df.withColumn("fold", ((at - 1) % folds).cast("bigint"))
+    """Folds by round-robin in the order of a hash inside each stratum.
+
+    Places are counted in 256 ranges of the hash, to which the sizes of all earlier ranges are added; so no task holds a whole stratum.
+    """
+    hashed = df.withColumn("_hash", F.sha2(F.col(key).cast("string"), 256)).withColumn("_range", F.substring("_hash", 1, 2))
+    sizes = hashed.groupBy(stratum, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_hash", key))
+    placed = hashed.withColumn("_at", at).join(sizes.withColumn("_before", before).withColumnRenamed(stratum, "_stratum").withColumnRenamed("_range", "_own"), F.expr(f"{stratum} <=> _stratum AND _range = _own"))
+    return placed.withColumn("fold", ((F.col("_at") + F.col("_before") - 1) % folds).cast("bigint")).select(*df.columns, "fold")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions.geometry import Box, center_inside, coverage, intersection_area, iou
+from leafline.operators.evidence import text_similarity
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -23,6 +24,24 @@ def best_regions(elements: DataFrame, regions: DataFrame, least: float = 0.5) ->
     return best.select("page", F.col("e_idx").alias("idx"), F.col("r_region").alias("region"), F.round("coverage", 8).alias("coverage"))
 
 
+def best_regions_by_text(elements: DataFrame, regions: DataFrame, least_coverage: float = 0.5, least_similarity: float = 0.45) -> DataFrame:
+    """Each element (with text) with its best region (page, region, text, fine, box) by 0.75 coverage + 0.25 similarity of texts, if one of both is enough.
+
+    Ties go to the more similar, then to regions of fine granularity, then to the smaller, then to the earlier. Regions that share
+    neither area nor text with an element are not compared.
+    """
+    e, r = Box.of("e_"), Box.of("r_")
+    joined = side(elements, "e_", "idx", "text").join(side(regions, "r_", "region", "text", "fine"), "page").withColumn("coverage", coverage(e, r))
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    held = (low("e_text") != "") & F.contains(low("r_text"), low("e_text"))
+    scored = joined.where((F.col("coverage") > 0) | held).withColumn("similarity", text_similarity(F.col("e_text"), F.col("r_text")))
+    scored = scored.withColumn("score", 0.75 * F.col("coverage") + 0.25 * F.col("similarity"))
+    w = Window.partitionBy("page", "e_idx").orderBy(F.desc("score"), F.desc("similarity"), F.desc("r_fine"), F.greatest(r.area, F.lit(1.0)), "r_region")
+    best = scored.withColumn("n", F.row_number().over(w)).where("n = 1")
+    kept = best.where((F.col("coverage") >= least_coverage) | (F.col("similarity") >= least_similarity))
+    return kept.select("page", F.col("e_idx").alias("idx"), F.col("r_region").alias("region"), F.round("coverage", 8).alias("coverage"), F.round("similarity", 8).alias("similarity"))
+
+
 def memberships(elements: DataFrame, regions: DataFrame, least: float = 0.5, margin: float = 0.1) -> DataFrame:
     """Best and second best region of each element; a member only with coverage and margin, else the reason."""
     e, r = Box.of("e_"), Box.of("r_")

@@ -173,3 +173,42 @@ def unassigned_runs(ordered: DataFrame, assigned: Column, rank: str = "visual_ra
 def stream_index(ordered: DataFrame, stream: str, rank: str) -> DataFrame:
     """One-based place of each element in its stream."""
     return ordered.withColumn("stream_index", F.row_number().over(Window.partitionBy("page", stream).orderBy(rank)).cast("bigint"))
+
+
+def relation_scores(elements: DataFrame, columns: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Edges (page, source, target, score) of three kinds: down a stream, from the foot of a column to the head of one to its right, and to the visual successor.
+
+    ``columns``: (page, idx, col). A stream is a column, or boxes one above the other. Scores over 0 only.
+    """
+    cols = columns.select("page", "idx", "col")
+    c = visual_order(elements).join(cols, ["page", "idx"], "left")
+    bounds = c.where("col IS NOT NULL").groupBy("page", "col").agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"))
+    c = c.join(bounds, ["page", "col"], "left").join(elements.groupBy("page").agg(F.median(F.col("y1") - F.col("y0")).alias("line")), "page")
+    names = ["idx", *BOX, "col", "top", "bottom", "visual_rank"]
+    side = lambda p: c.select("page", *([F.col("line")] if p == "a" else []), *[F.col(n).alias(f"{p}_{n}") for n in names])
+    a, b = Box.of("a_"), Box.of("b_")
+    pair = side("a").join(side("b"), "page").where("a_idx <> b_idx")
+    gap, far = b.y0 - a.y1, F.greatest(F.lit(0.08 * page_height), 7 * F.col("line"))
+    shared, apart = horizontal_overlap_ratio(a, b), F.abs(a.center_x - b.center_x)
+    same = F.coalesce(F.col("a_col") == F.col("b_col"), F.lit(False))
+    reach = F.greatest(F.lit(24.0), F.least(0.42 * F.greatest(a.width, b.width), F.lit(0.12 * page_width)))
+    stream = (same | (apart <= reach) | ((shared >= 0.65) & (apart <= 0.16 * page_width))) & gap.between(-0.35 * F.col("line"), far)
+    near = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), gap) / far)
+    down = 0.42 + 0.24 * near + 0.18 * F.least(F.lit(1.0), shared) + 0.1 * (1 - F.least(F.lit(1.0), apart / (0.28 * page_width))) + F.when(same, 0.08).otherwise(0.0)
+    foot = (a.y1 - F.col("a_top")) / F.greatest(F.lit(1.0), F.col("a_bottom") - F.col("a_top"))
+    head = (b.y0 - F.col("b_top")) / F.greatest(F.lit(1.0), F.col("b_bottom") - F.col("b_top"))
+    step = (b.center_x - a.center_x) / page_width
+    handoff = (F.col("b_col") > F.col("a_col")) & (b.y0 < a.y0) & (foot >= 0.55) & (head <= 0.45) & (step > 0.08)
+    over = 0.38 + 0.16 * F.least(F.lit(1.0), (foot - 0.5) / 0.5) + 0.16 * F.least(F.lit(1.0), (0.5 - head) / 0.5) + 0.12 * F.least(F.lit(1.0), step / 0.35)
+    score = F.when(stream, F.least(F.lit(1.0), down)).when(handoff, F.least(F.lit(1.0), over)).when(F.col("b_visual_rank") == F.col("a_visual_rank") + 1, 0.28)
+    return pair.select("page", F.col("a_idx").alias("source"), F.col("b_idx").alias("target"), F.round(score, 8).alias("score")).where("score > 0")
+
+
+def full_width(elements: DataFrame, columns: DataFrame, page_width: float) -> DataFrame:
+    """Whether an element is as wide as the page's text, or spans parts of two columns (page, idx, col)."""
+    bounds = elements.join(columns.select("page", "idx", "col"), ["page", "idx"]).where("x1 - x0 < 0.6 * %f" % page_width)
+    spans = bounds.groupBy("page", "col").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
+    crossing = F.count_if((F.least("x1", "right") - F.greatest("x0", "left")) > 0.2 * (F.col("right") - F.col("left")))
+    hits = elements.join(spans, "page").groupBy("page", "idx").agg(crossing.alias("columns"))
+    wide = (F.col("x1") - F.col("x0")) >= 0.6 * page_width
+    return elements.select("page", "idx", wide.alias("wide")).join(hits, ["page", "idx"], "left").select("page", "idx", "wide", (F.coalesce("columns", F.lit(0)) >= 2).alias("crosses"))
