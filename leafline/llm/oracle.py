@@ -160,7 +160,7 @@ SELECT pair_id, paired, n AS n_shared, coalesce(prompt, '') AS prompt, coalesce(
 FROM shared LEFT JOIN prompts USING (pair_id) LEFT JOIN c USING (pair_id) LEFT JOIN r USING (pair_id)"""
 
 
-def repeated_bytes_sql(length: int = 400, source: str = "documents") -> str:
+def repeated_bytes_sql(length: int = 400, source: str = "documents", words: int = 51) -> str:
     """Texts as hexadecimal digits, so that places are bytes; windows are told apart by MD5.
 
     Windows are cut from parts of a text, as cutting them from its start would take the square of its length.
@@ -173,8 +173,12 @@ w AS (SELECT doc_id, start + o AS i, md5(substring(p, 2 * o + 1, {2 * length}))
 t AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM t),
 r AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f) GROUP BY doc_id, run),
+ws AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM {source}),
+ww AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {words - 1}], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {words - 2})) AS i FROM ws WHERE len(ws) >= {words})),
+wr AS (SELECT doc_id, i FROM ww WHERE k IN (SELECT k FROM ww GROUP BY k HAVING count(*) > 1)),
+pw AS (SELECT doc_id, sum(least({words}, i - last))::BIGINT AS n_passage_words FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{words}) AS last FROM wr) GROUP BY doc_id),
 g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM r),
 k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS tail, string_agg(substring(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(head || substring(h, 2 * tail + 1), h))) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)"""
+       sha256(unhex(coalesce(head || substring(h, 2 * tail + 1), h))) AS kept_sha256, coalesce(n_passage_words, 0) AS n_passage_words
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN pw USING (doc_id)"""

@@ -17,7 +17,7 @@ from leafline.llm.pii import pii_digest, pii_spans
 from leafline.llm.preferences import format_preferences, preference_digest, variant_endings
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
-from leafline.llm.suffix_dedup import repeated_bytes, repeated_bytes_digest
+from leafline.llm.suffix_dedup import repeated, repeated_bytes_digest
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes_digest(repeated_bytes(table(spark, sf_dir, "documents")))
+    return repeated_bytes_digest(repeated(table(spark, sf_dir, "documents")))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

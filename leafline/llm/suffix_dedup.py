@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm.common import bounded_batches, materialize
+from leafline.llm.shingles import word_hashes
 from leafline.llm.suffixes import LoserTree, anchors, fingerprints, front_code, front_decode
 
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -31,7 +32,7 @@ class SuffixParams:
     """``window``: an anchor lies in the first so many bytes of a string of ``length`` bytes.
 
     ``run_entries``: suffixes that a task sorts at a time; ``range_entries``: those of a range, on average.
-    ``splitter_sample``: suffixes from which the ends of ranges are taken; they only balance the ranges.
+    ``splitter_sample``: suffixes for each range from which its ends are taken; they only balance the ranges.
     """
 
     length: int = 400
@@ -39,7 +40,7 @@ class SuffixParams:
     run_entries: int = 40_000
     range_entries: int = 40_000
     splitter_bytes: int = 32
-    splitter_sample: int = 20_000
+    splitter_sample: int = 16
 
 
 def _anchoring(params: SuffixParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -231,16 +232,15 @@ def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _splitters(texts: DataFrame, total: int, params: SuffixParams) -> list[bytes]:
-    """Ends of ranges from a bounded sample of suffixes, taken by a hash of the text."""
+    """Ends of ranges from a sample of suffixes, taken by a hash of the text: ``splitter_sample`` of 32 bytes for each range."""
     ranges = -(-total // params.range_entries)
     if ranges < 2:
         return []
-    step = max(1, total // params.splitter_sample)
+    step = max(1, params.range_entries // params.splitter_sample)
     sample = (
         texts.select("same", "text", F.explode("places").alias("at"))
         .where(F.pmod(F.xxhash64("same", "at"), F.lit(step)) == 0)
         .select(F.expr(f"substring(cast(text AS binary), at + 1, {params.splitter_bytes})").alias("s"))
-        .limit(2 * params.splitter_sample)
     )
     strings = sorted(bytes(r[0]) for r in sample.collect())
     return sorted({strings[len(strings) * i // ranges] for i in range(1, ranges)}) if strings else []
@@ -292,5 +292,42 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     )
 
 
+#: A word as three characters of seven bits; passages of many words are told apart by all of them.
+_CODE = 3
+PASSAGE_WORDS = 51
+
+
+def _coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text in batch["text"].cast(pa.binary()):
+            hashes = word_hashes(text.as_py()) if text.is_valid else np.empty(0, np.uint64)
+            out.append(((hashes[:, None] >> np.array([40, 47, 54], np.uint64)) & np.uint64(127)).astype(np.uint8).tobytes().decode("ascii"))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string())], names=["doc_id", "text"])
+
+
+def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with ``n_passage_words``: words in passages of ``words`` words or more that start anywhere else too.
+
+    The same sort as of bytes, over texts in which every word is three characters; white space plays no role.
+    """
+    bounded_batches(docs.sparkSession)
+    coded = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_coding, "doc_id bigint, text string")
+    length = _CODE * words
+    found = repeated_bytes(coded, SuffixParams(length=length, window=length // 2))
+    return found.select("doc_id", F.floor(F.col("n_removed") / _CODE).cast("bigint").alias("n_passage_words"))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """:func:`repeated_bytes` with the words in repeated passages, row by row, whatever ids rows share.
+
+    Rows are numbered by their place in the files of ``docs``, which every scan gives alike.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("id"), "text")
+    as_rows = numbered.select(F.col("row").alias("doc_id"), "text")
+    both = repeated_bytes(as_rows).join(repeated_passages(as_rows), "doc_id")
+    return both.withColumnRenamed("doc_id", "row").join(numbered.select("row", "id"), "row").withColumnRenamed("id", "doc_id").drop("row")
+
+
 def repeated_bytes_digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256", "n_passage_words")

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -17,7 +18,7 @@ from leafline.llm.pii import pii_digest, pii_spans, redacted
 from leafline.llm.preferences import format_preferences, preference_digest, variant_endings
 from leafline.llm.quality_rules import quality_rules
 from leafline.llm.secret_scan import secret_digest, secret_scan
-from leafline.llm.suffix_dedup import repeated_bytes, repeated_bytes_digest
+from leafline.llm.suffix_dedup import repeated, repeated_bytes_digest, repeated_passages
 
 from .cases import documents, nothing
 
@@ -29,7 +30,7 @@ def benchmark(spark, rows=()):
 ROW_WISE = {
     "quality": lambda d: quality_rules(d),
     "license": lambda d: license_digest(license_scan(d)),
-    "suffix": lambda d: repeated_bytes_digest(repeated_bytes(d)),
+    "suffix": lambda d: repeated_bytes_digest(repeated(d)),
     "secret": lambda d: secret_digest(secret_scan(d)),
     "near": near_duplicates,
     "pii": lambda d: pii_digest(pii_spans(d)),
@@ -105,11 +106,33 @@ def test_repeated_bytes_against_brute_force(spark):
     shared, edge = text(120), text(70)[:402]
     texts = [text(200) + shared + text(100), shared, text(50) + shared[:420] + text(60), text(80) + edge + text(3) + edge, "", "a" * 1_000, "a" * 399, text(90), shared, edge[1:], text(30) + shared[25:]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in repeated_bytes_digest(repeated_bytes(docs)).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeated_bytes_digest(repeated(docs)).collect()}
     want = brute_repeats([t.encode() for t in texts])
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_passages_against_brute_force(spark):
+    """Passages of 51 words and more are found whatever white space is between words, and however few bytes they have."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(60))
+    passage = [word() for _ in range(80)]
+    rows = []
+    for i in range(40):
+        n, at = rng.randint(40, 70), rng.randint(0, 10)
+        part = passage[at : at + n] if i % 2 else [word() for _ in range(n)]
+        rows.append((i, rng.choice([" ", "  ", "\n"]).join([word() for _ in range(rng.randint(0, 30))] + part + [word() for _ in range(rng.randint(0, 30))])))
+    rows += [(40, None), (40, ""), (41, rows[0][1]), (None, " ".join(passage))]
+    windows = Counter(tuple(t.split()[k : k + 51]) for _, t in rows for k in range(len((t or "").split()) - 50))
+
+    def covered(text):
+        w = (text or "").split()
+        return len({k + j for k in range(len(w) - 50) if windows[tuple(w[k : k + 51])] > 1 for j in range(51)})
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_passage_words) for r in repeated_passages(docs).collect())
+    assert got == sorted((i is None, i or 0, covered(t)) for i, t in rows)
+
+
 def test_packing_is_a_partition_of_all_ids(spark):
     import numpy as np
     from tokenizers import Tokenizer
