@@ -59,6 +59,15 @@ def test_window_entropy(spark):
         assert got == pytest.approx(want)
 
 
+def test_numbers_that_run_into_others_are_added(spark):
+    texts = ["Card 4111111111111111 5500005555555559 end", "call +1 (826) 555-4081 190.137.223.204 now", "id 1234567890123 4111111111111112 x", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii_digest(pii_spans(docs)).collect()}
+    assert got[0].n_card == 0 and got[0].spans == "card_group:5:21,card_group:22:38"
+    assert got[1].n_phone == 0 and got[1].spans == "phone_group:5:22,ip:23:38"
+    assert got[2].spans == "" and got[3].spans == ""
+
+
 def test_reliabilities_follow_agreement():
     counts = [("email", (1, 1, 1, 0, 1), 80), ("email", (-1, -1, 0, -1, -1), 80), ("email", (1, -1, 0, 0, 1), 5)]
     post = estimate_reliabilities(counts, PiiParams())
