@@ -47,6 +47,10 @@ class NearDedupParams:
     seed: int = 11
 
 
+#: Shingles of a prefix that are kept with the next one.
+_BEFORE = 32
+
+
 class Weights:
     """Weights of the shingles of a text: (1 + ln tf) times a bounded idf."""
 
@@ -203,17 +207,22 @@ def _across(crowds: DataFrame, rooted: DataFrame, texts: DataFrame, idf, params:
     """Pairs (a, b) of nodes from keys of ``crowds`` (key, node) with several roots of ``rooted``: all that can be linked and have different roots.
 
     They share a shingle of their prefixes, and no more can be common than what follows it in either of them.
+    A pair is put out at the first shingle that both have: at a later one, another that both have is among the
+    ``_BEFORE`` that come before it, or a pair is put out again.
     """
     member = crowds.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left_over = member.join(mixed, "key").select("node", "root").distinct()
     own = texts.join(left_over.hint("merge"), "node").select("node", "root", "text")
     prefixes = own.mapInArrow(_prefixing(idf, params), "node bigint, root bigint, tokens array<bigint>, rests array<double>")
-    entry = prefixes.withColumn("total", F.get("rests", F.lit(0))).select("node", "root", "total", F.explode(F.arrays_zip("tokens", "rests")).alias("t")).select("node", "root", "total", F.col("t.tokens").alias("token"), F.col("t.rests").alias("rest"))
+    entry = prefixes.select("node", "root", "tokens", F.get("rests", F.lit(0)).alias("total"), F.posexplode("rests").alias("pos", "rest"))
+    before = F.slice("tokens", F.greatest(F.col("pos") - (_BEFORE - 1), F.lit(1)), F.least(F.col("pos"), F.lit(_BEFORE)))
+    entry = entry.select("node", "root", "total", F.get("tokens", F.col("pos")).alias("token"), "rest", before.alias("before"))
     entry = materialize(entry, "prefixes")
     shared = params.similarity / (1 + params.similarity) * (F.col("l.total") + F.col("r.total")) * (1 - 1e-9)
     met = (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))
-    pairs = entry.alias("l").join(entry.alias("r").hint("merge"), met & (F.least("l.rest", "r.rest") >= shared))
+    met &= (F.least("l.rest", "r.rest") >= shared) & ~F.arrays_overlap("l.before", "r.before")
+    pairs = entry.alias("l").join(entry.alias("r").hint("merge"), met)
     return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
