@@ -89,6 +89,26 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over Arrow batches; what it leaves unused goes back to the system when a task ends, as workers live on and executors have a limit."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to add, in any case of letters."""
     lower = {n.lower() for n in names}

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import bounded_batches, materialize
+from leafline.llm.common import bounded_batches, materialize, tidy
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text; no word is empty.
@@ -293,7 +293,7 @@ def train(encoded: DataFrame, tokens: int, vocabulary, params: LmParams) -> np.n
     for i in range(params.rounds):
         start = spark.sparkContext.broadcast(weights)
         own = dealt.where(F.pmod("deal", F.lit(params.rounds)) == i).repartition(shards, "shard").sortWithinPartitions("shard", "deal", "classes")
-        models = own.select("classes").mapInArrow(_training(vocabulary, start, params.seed + i, params), schema)
+        models = own.select("classes").mapInArrow(tidy(_training(vocabulary, start, params.seed + i, params)), schema)
         rows = models.repartition(BLOCKS, "block").mapInArrow(_adding, schema).collect()
         if rows:
             weights = np.concatenate([np.frombuffer(r["weights"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]) / rows[0]["tokens"]
@@ -374,7 +374,7 @@ def lm_scores(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(params.folds))
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (fold == params.held_out_fold).alias("held_out"))
     training = given.where(~F.col("held_out"))
-    counted = training.select("text").mapInArrow(_counting(params), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    counted = training.select("text").mapInArrow(tidy(_counting(params)), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
     counts = materialize(counted, "counts")
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = counts.where(F.col("word") == F.lit(END)).first()
@@ -382,10 +382,10 @@ def lm_scores(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     sums = {r["k"]: (r["n"], r["v"]) for r in classed.collect()}
     known = Vocabulary(end["c"] if end else 0, frequent_words(counts, params.head_words), tokens, words, sums, params)
     vocabulary = spark.sparkContext.broadcast(known)
-    encoded = materialize(given.mapInArrow(_encoding(vocabulary), _ENCODED), "classes")
+    encoded = materialize(given.mapInArrow(tidy(_encoding(vocabulary)), _ENCODED), "classes")
     weights = spark.sparkContext.broadcast(train(encoded, tokens, vocabulary, params))
 
-    scored = encoded.drop("tail").mapInArrow(_scoring(vocabulary, weights, params), "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, inside double, model double")
+    scored = encoded.drop("tail").mapInArrow(tidy(_scoring(vocabulary, weights, params)), "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, inside double, model double")
     tail = encoded.select("row", F.explode("tail").alias("word"))
     inside = F.element_at(F.array(*[F.lit(float(x)) for x in known.tail_total]), tail_class_column(F.col("word"), params) + 1)
     log = lambda total: F.log10((F.coalesce("c", F.lit(0)) + 0.5) / total)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import bounded_batches, materialize
+from leafline.llm.common import bounded_batches, materialize, tidy
 from leafline.llm.graph import connected_components
 from leafline.llm.shingles import mix, shingle_hashes
 
@@ -172,7 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, params: NearDedupParams)
     """Of ``pairs`` (a, b), those that are linked. ``b`` gets its text first, so that the hot side, ``a``, is joined last and can be split."""
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return materialize(with_both.mapInArrow(_verifying(idf, params), "a bigint, b bigint"), "links")
+    return materialize(with_both.mapInArrow(tidy(_verifying(idf, params)), "a bigint, b bigint"), "links")
 
 
 def prefix(hashes: np.ndarray, weights: np.ndarray, rarity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def _across(crowds: DataFrame, rooted: DataFrame, texts: DataFrame, idf, params:
     mixed = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left_over = member.join(mixed, "key").select("node", "root").distinct()
     own = texts.join(left_over.hint("merge"), "node").select("node", "root", "text")
-    prefixes = own.mapInArrow(_prefixing(idf, params), "node bigint, root bigint, tokens array<bigint>, rests array<double>")
+    prefixes = own.mapInArrow(tidy(_prefixing(idf, params)), "node bigint, root bigint, tokens array<bigint>, rests array<double>")
     entry = prefixes.select("node", "root", "tokens", F.get("rests", F.lit(0)).alias("total"), F.posexplode("rests").alias("pos", "rest"))
     before = F.slice("tokens", F.greatest(F.col("pos") - (_BEFORE - 1), F.lit(1)), F.least(F.col("pos"), F.lit(_BEFORE)))
     entry = entry.select("node", "root", "total", F.get("tokens", F.col("pos")).alias("token"), "rest", before.alias("before"))
@@ -239,7 +239,7 @@ def _merged(rooted: DataFrame, links: DataFrame) -> DataFrame:
 
 def document_frequencies(docs: DataFrame, params: NearDedupParams) -> tuple[np.ndarray, int]:
     """Documents with each of the ``idf_features`` features, and documents with any: a vector of fixed size."""
-    rows = docs.select("text").mapInArrow(_counting(params), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(_counting(params)), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     counts, total = np.zeros(params.idf_features, np.int64), 0
     for at, n in rows:
         if at < 0:
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     counts, total = document_frequencies(given, params)
     idf = spark.sparkContext.broadcast((counts, total))
     keyed = given.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), "text")
-    sampled = materialize(keyed.mapInArrow(_sampling(idf, params), "doc_id bigint, same string, bands array<bigint>"), "bands")
+    sampled = materialize(keyed.mapInArrow(tidy(_sampling(idf, params)), "doc_id bigint, same string, bands array<bigint>"), "bands")
     named = sampled.where("doc_id IS NOT NULL AND bands IS NOT NULL")
     nodes = materialize(named.groupBy("same").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("same", F.col("first.doc_id").alias("node"), "first.bands"), "nodes")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafline.llm.common import bounded_batches, discard, materialize
+from leafline.llm.common import bounded_batches, discard, materialize, tidy
 from leafline.llm.shingles import run_hashes
 
 
@@ -347,7 +347,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_statistics(encoded: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents with each term, all documents, all tokens. What reaches the driver is as large as the vocabulary."""
-    rows = encoded.select("ids", "width").mapInArrow(_counting, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.select("ids", "width").mapInArrow(tidy(_counting), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     total = {r["term"]: r["n"] for r in rows}
     documents, tokens = total.pop(-1, 0), total.pop(-2, 0)
     df = np.zeros(max(total, default=0) + 1, np.int64)
@@ -475,17 +475,17 @@ def pack(docs: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    encoded = materialize(texts.mapInArrow(_encoding(params), "doc_id bigint, row bigint, width int, ids binary"), "ids")
+    encoded = materialize(texts.mapInArrow(tidy(_encoding(params)), "doc_id bigint, row bigint, width int, ids binary"), "ids")
     df, documents, tokens = corpus_statistics(encoded)
     corpus = spark.sparkContext.broadcast(Corpus.of(df, documents, tokens))
     means = spark.sparkContext.broadcast(fitted_clusters(encoded, corpus, documents, params))
     schema = "doc_id bigint, row bigint, width int, ids binary, cluster int, part int"
-    placed = materialize(encoded.mapInArrow(_placing(corpus, means, params), schema), "placed")
+    placed = materialize(encoded.mapInArrow(tidy(_placing(corpus, means, params)), schema), "placed")
     discard(encoded.written_to)
     ranges = max(1, min(params.most_ranges, -(-tokens // params.range_tokens)))
     order = ["cluster", "part", "row"]
     dealt = placed.repartitionByRange(ranges, *order) if ranges > 1 else placed.coalesce(1)
-    return dealt.sortWithinPartitions(*order).select("doc_id", "width", "ids").mapInArrow(_packing(corpus, params), _SCHEMA)
+    return dealt.sortWithinPartitions(*order).select("doc_id", "width", "ids").mapInArrow(tidy(_packing(corpus, params)), _SCHEMA)
 
 
 def packing_digest(pieces: DataFrame) -> DataFrame:

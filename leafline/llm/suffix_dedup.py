@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import bounded_batches, materialize
+from leafline.llm.common import bounded_batches, materialize, tidy
 from leafline.llm.shingles import word_hashes
 from leafline.llm.suffixes import LoserTree, anchors, fingerprints, front_code, front_decode
 
@@ -260,7 +260,7 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = F.unhex(F.md5(F.col("text").cast("binary")))
     read = given.select("doc_id", same.alias("same"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "text")
-    rows = materialize(read.mapInArrow(_anchoring(params), "doc_id bigint, same binary, n_bytes bigint, sha256 string, places array<int>, prints array<bigint>"), "anchors")
+    rows = materialize(read.mapInArrow(tidy(_anchoring(params)), "doc_id bigint, same binary, n_bytes bigint, sha256 string, places array<int>, prints array<bigint>"), "anchors")
 
     texts_of = rows.groupBy("same").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("owner"), "n_bytes", "places", "prints")).alias("x"))
     nodes = materialize(texts_of.where("x.n_bytes >= %d" % params.length).select("same", "x.owner", (F.col("copies") > 1).alias("gone"), "x.places", "x.prints"), "nodes")
@@ -273,7 +273,7 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
 
     total = texts.agg(F.sum(F.size("places"))).first()[0] or 0
     splitters = _splitters(texts, total, params)
-    runs = materialize(texts.mapInArrow(_sorting(splitters, params), _RUN_SCHEMA), "runs")
+    runs = materialize(texts.mapInArrow(tidy(_sorting(splitters, params)), _RUN_SCHEMA), "runs")
     blocks = runs.where("part >= 0")
     found = blocks.groupBy("part").applyInArrow(_merging(params), "same binary, start int, end int")
     spans = runs.where("part < 0").select("same", "start", "end").union(found)
