@@ -89,6 +89,12 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files give under a quarter of that, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() < cores else df
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` over Arrow batches; what it leaves unused goes back to the system when a task ends, as workers live on and executors have a limit."""
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import bounded_batches, materialize, tidy
+from leafline.llm.common import bounded_batches, materialize, spread, tidy
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text; no word is empty.
@@ -372,7 +372,7 @@ def lm_scores(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(params.folds))
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (fold == params.held_out_fold).alias("held_out"))
+    given = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (fold == params.held_out_fold).alias("held_out")))
     training = given.where(~F.col("held_out"))
     counted = training.select("text").mapInArrow(tidy(_counting(params)), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
     counts = materialize(counted, "counts")

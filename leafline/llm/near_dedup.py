@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import bounded_batches, materialize, tidy
+from leafline.llm.common import bounded_batches, materialize, spread, tidy
 from leafline.llm.graph import connected_components
 from leafline.llm.shingles import mix, shingle_hashes
 
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, params: NearDedupParams = NearDedupParams()
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    given = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     counts, total = document_frequencies(given, params)
     idf = spark.sparkContext.broadcast((counts, total))
     keyed = given.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), "text")

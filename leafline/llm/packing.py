@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafline.llm.common import bounded_batches, discard, materialize, tidy
+from leafline.llm.common import bounded_batches, discard, materialize, spread, tidy
 from leafline.llm.shingles import run_hashes
 
 
@@ -307,7 +307,7 @@ def tokenizer_for(params: PackingParams) -> CachedTokenizer:
 
 
 def _encoding(params: PackingParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, row, width, ids): ids with the end id, of 2 bytes each if the vocabulary allows; ``row`` tells equal rows apart."""
+    """(doc_id, hash, row, width, ids): ids with the end id, of 2 bytes each if the vocabulary allows; ``row`` tells equal rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, row = tokenizer_for(params), TaskContext.get().partitionId() << 40
@@ -318,8 +318,8 @@ def _encoding(params: PackingParams) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 some = batch.slice(i, 512)
                 ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in tokenizer.encode_batch([t or "" for t in some["text"].to_pylist()])]
                 n = len(ids)
-                made = [some["doc_id"], pa.array(range(row, row + n), pa.int64()), pa.array([width] * n, pa.int32()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "row", "width", "ids"])
+                made = [some["doc_id"], some["hash"], pa.array(range(row, row + n), pa.int64()), pa.array([width] * n, pa.int32()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "hash", "row", "width", "ids"])
                 row += n
 
     return run
@@ -386,17 +386,17 @@ def spherical_means(points: np.ndarray, n: int, rng: np.random.Generator) -> np.
 
 
 def fitted_clusters(encoded: DataFrame, corpus, documents: int, params: PackingParams) -> np.ndarray:
-    """Means of the clusters, then of the parts of each, from a sample of rows by a hash of their numbers."""
+    """Means of the clusters, then of the parts of each, from a sample of rows by a hash of their content."""
     step = max(1, documents // params.cluster_sample)
-    some = encoded.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("row", "ids", "width")
+    some = encoded.where(F.pmod(F.xxhash64("hash"), F.lit(step)) == 0).select("hash", "ids", "width").dropDuplicates(["hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(corpus.value, params)
         for batch in batches:
             found = vectors.of(_arrays(batch))
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array([v.tobytes() for v in found], pa.binary())], names=["row", "vector"])
+            yield pa.RecordBatch.from_arrays([batch["hash"], pa.array([v.tobytes() for v in found], pa.binary())], names=["hash", "vector"])
 
-    rows = sorted(some.mapInArrow(run, "row bigint, vector binary").collect())
+    rows = sorted(some.mapInArrow(run, "hash bigint, vector binary").collect())
     if not rows:
         return np.zeros((1 + params.clusters, params.clusters, params.dim), np.float32)
     points, rng = np.stack([np.frombuffer(r["vector"], np.float32) for r in rows]), np.random.default_rng(params.seed)
@@ -467,23 +467,23 @@ def pack(docs: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
 
     A null or empty text is its end id alone. Repeated rows are packed one by one.
     A null doc_id stays null. An empty table gives no pieces. The one shuffle deals
-    ids by ranges of cluster, part and number of the row,
+    ids by ranges of cluster, part, a hash and the number of the row,
     so copies of one text, however many, are split over ranges and shards.
 
     The number of ranges follows from the tokens alone, and not from the session.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    encoded = materialize(texts.mapInArrow(tidy(_encoding(params)), "doc_id bigint, row bigint, width int, ids binary"), "ids")
+    texts = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("hash")))
+    encoded = materialize(texts.mapInArrow(tidy(_encoding(params)), "doc_id bigint, hash bigint, row bigint, width int, ids binary"), "ids")
     df, documents, tokens = corpus_statistics(encoded)
     corpus = spark.sparkContext.broadcast(Corpus.of(df, documents, tokens))
     means = spark.sparkContext.broadcast(fitted_clusters(encoded, corpus, documents, params))
-    schema = "doc_id bigint, row bigint, width int, ids binary, cluster int, part int"
+    schema = "doc_id bigint, hash bigint, row bigint, width int, ids binary, cluster int, part int"
     placed = materialize(encoded.mapInArrow(tidy(_placing(corpus, means, params)), schema), "placed")
     discard(encoded.written_to)
     ranges = max(1, min(params.most_ranges, -(-tokens // params.range_tokens)))
-    order = ["cluster", "part", "row"]
+    order = ["cluster", "part", "hash", "row"]
     dealt = placed.repartitionByRange(ranges, *order) if ranges > 1 else placed.coalesce(1)
     return dealt.sortWithinPartitions(*order).select("doc_id", "width", "ids").mapInArrow(tidy(_packing(corpus, params)), _SCHEMA)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import bounded_batches, materialize, tidy
+from leafline.llm.common import bounded_batches, materialize, spread, tidy
 from leafline.llm.shingles import word_hashes
 from leafline.llm.suffixes import LoserTree, anchors, fingerprints, front_code, front_decode
 
@@ -259,7 +259,7 @@ def repeated_bytes(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = F.unhex(F.md5(F.col("text").cast("binary")))
-    read = given.select("doc_id", same.alias("same"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "text")
+    read = spread(given).select("doc_id", same.alias("same"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "text")
     rows = materialize(read.mapInArrow(tidy(_anchoring(params)), "doc_id bigint, same binary, n_bytes bigint, sha256 string, places array<int>, prints array<bigint>"), "anchors")
 
     texts_of = rows.groupBy("same").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("owner"), "n_bytes", "places", "prints")).alias("x"))
