@@ -6,10 +6,11 @@ independent and spread over the cluster.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,19 +103,15 @@ def max_regret_cover(edges: DataFrame, least: float = 0.3) -> DataFrame:
 
 def topological_order(items: DataFrame, edges: DataFrame, rank: str) -> DataFrame:
     """Place of each item such that edges point forward, and else the base rank decides; no rows for a page with a cycle."""
+    targets = edges.select("page", F.col("source").alias("idx"), "target").groupBy("page", "idx").agg(F.collect_set("target").alias("targets"))
+    linked = items.select("page", "idx", F.col(rank).alias("rank")).join(targets, ["page", "idx"], "left")
 
-    def run(key: tuple, page: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        base = dict(zip(page["idx"], page[rank], strict=True))
-        after: dict[int, set[int]] = {i: set() for i in base}
-        for s, t in zip(links["source"], links["target"], strict=True):
-            if s in base and t in base:
-                after[s].add(t)
-        waiting = {i: 0 for i in base}
-        for targets in after.values():
-            for t in targets:
-                waiting[t] += 1
+    def run(page: dict[str, list]) -> list[list]:
+        base = dict(zip(page["idx"], page["rank"], strict=True))
+        after = {i: [t for t in found or () if t in base] for i, found in zip(page["idx"], page["targets"], strict=True)}
+        waiting = dict.fromkeys(base, 0)
+        for t in itertools.chain.from_iterable(after.values()):
+            waiting[t] += 1
         ready = [(base[i], i) for i, n in waiting.items() if not n]
         heapq.heapify(ready)
         out: list[int] = []
@@ -125,11 +122,9 @@ def topological_order(items: DataFrame, edges: DataFrame, rank: str) -> DataFram
                 waiting[t] -= 1
                 if not waiting[t]:
                     heapq.heappush(ready, (base[t], t))
-        out = out if len(out) == len(base) else []
-        return pd.DataFrame({"page": key[0], "idx": out, "place": range(1, len(out) + 1)}, columns=["page", "idx", "place"])
+        return [out, list(range(1, len(out) + 1))] if len(out) == len(base) else []
 
-    grouped = items.select("page", "idx", rank).groupBy("page").cogroup(edges.select("page", "source", "target").groupBy("page"))
-    return grouped.applyInPandas(run, "page bigint, idx bigint, place bigint")
+    return by_page(linked, ["rank", "idx"], run, "page bigint, idx bigint, place bigint")
 
 
 def assign(scores: np.ndarray) -> list[tuple[int, int]]:
