@@ -69,6 +69,15 @@ def discard(*paths: str) -> None:
             pass
 
 
+def settle(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``build`` as a written table; the tables that it wrote on its way are deleted."""
+    before = set(_OWNED)
+    out = materialize(build(), name)
+    if gone := set(_OWNED) - before - {out.written_to}:
+        discard(*gone)
+    return out
+
+
 def partitions_for(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
     """How many partitions of ``each`` there are in ``rows_or_bytes``, and at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows_or_bytes) // each), 1)

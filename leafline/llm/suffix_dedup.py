@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm.common import bounded_batches, materialize, spread, tidy
+from leafline.llm.common import bounded_batches, materialize, settle, spread, tidy
 from leafline.llm.shingles import word_hashes
 from leafline.llm.suffixes import LoserTree, anchors, fingerprints, front_code, front_decode
 
@@ -325,7 +325,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("id"), "text")
     as_rows = numbered.select(F.col("row").alias("doc_id"), "text")
-    both = repeated_bytes(as_rows).join(repeated_passages(as_rows), "doc_id")
+    passages = settle(lambda: repeated_passages(as_rows), "passages")
+    both = repeated_bytes(as_rows).join(passages, "doc_id")
     return both.withColumnRenamed("doc_id", "row").join(numbered.select("row", "id"), "row").withColumnRenamed("id", "doc_id").drop("row")
 
 
