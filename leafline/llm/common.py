@@ -78,11 +78,6 @@ def settle(build: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
-def partitions_for(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
-    """How many partitions of ``each`` there are in ``rows_or_bytes``, and at least the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows_or_bytes) // each), 1)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows and 16 MB, so that long texts don't pile up in a Python worker.
 
