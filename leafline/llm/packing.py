@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafline.llm.common import bounded_batches, discard, materialize, spread, tidy
+from leafline.llm.merges import PairMerges
 from leafline.llm.shingles import run_hashes
 
 
@@ -37,7 +38,7 @@ class PackingParams:
     ``range_tokens``: tokens in a range, that is in a task; more, if there would be over ``most_ranges`` of them.
     ``clusters``: clusters of documents, and as many parts of each; fitted on at most about ``cluster_sample`` documents.
     ``dense_share``: terms in at least this share of a shard's documents are kept as rows over all of them.
-    ``cached_words``: distinct words, of ``cached_bytes`` at most, whose ids a worker keeps.
+    ``cached_words``: distinct words, of ``cached_bytes`` at most, whose ids a worker keeps, of those that the tokenizer encodes one by one.
     """
 
     length: int = 2048
@@ -72,10 +73,10 @@ _PROBE = "Ab cD, e.f! 12 Éç_x--(Y)\n z the\t [Straße] #1"
 class CachedTokenizer:
     """Ids of texts as little-endian uint32 bytes.
 
-    The vocabulary's merges never cross a word, so each word is encoded once and
-    then looked up. Distinct words of a batch are told apart by a 64-bit hash. Texts
-    with other than plain Latin characters, and such with the marks of special
-    tokens, go to the tokenizer whole.
+    The vocabulary's merges never cross a word, so each distinct word of a batch, told
+    apart by a 64-bit hash, is encoded once: by merges of all words together, and very
+    long words by the tokenizer, whose ids are kept. Texts with other than plain Latin
+    characters, and such with the marks of special tokens, go to the tokenizer whole.
     """
 
     def __init__(self, path: str | None, cached_words: int, cached_bytes: int = 48):
@@ -91,6 +92,9 @@ class CachedTokenizer:
             self.most = 0  # words of other tokenizers are not known to be independent
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.merges = PairMerges.of(self.tokenizer) if self.most else None
+        if self.merges and self._encode_plain([_PROBE]) != self._encode([_PROBE]):
+            self.merges = None
         if self.most and self._encode_plain([_PROBE]) != self._encode([_PROBE]):
             self.most, self.cache = 0, {}  # it normalizes or splits in another way
 
@@ -132,7 +136,29 @@ class CachedTokenizer:
         words = cls[starts] > 0 if len(raw) else np.zeros(1, bool)
         starts, ends = starts[words], ends[words]
         _, first, which = np.unique(run_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        distinct = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        flat, begin, size = self._ids_of_words(data, raw, starts[first], ends[first])
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])].astype("<u4").tobytes()
+        text_ends = np.cumsum([len(p) + 1 for p in parts])
+        cuts = [0, *(4 * total[np.searchsorted(starts, text_ends)]).tolist()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _ids_of_words(self, data: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, where each word's begin, and how many it has."""
+        if self.merges is None:
+            return self._looked_up(data, starts, ends)
+        short = ends - starts <= self.merges.longest
+        begin, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        flat, begin[short], size[short] = self.merges.encode(raw, starts[short], (ends - starts)[short])
+        if not short.all():
+            others, at, size[~short] = self._looked_up(data, starts[~short], ends[~short])
+            begin[~short] = at + len(flat)
+            flat = np.concatenate([flat, others])
+        return flat, begin, size
+
+    def _looked_up(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distinct = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         ids = list(map(self.cache.get, distinct))
         unknown = [i for i, x in enumerate(ids) if x is None]
         made = self._encode_words([distinct[i].decode() for i in unknown])
@@ -142,14 +168,7 @@ class CachedTokenizer:
         if room > 0:  # the first words of a text are mostly the frequent ones
             self.cache.update((distinct[i], ids[i]) for i in unknown[:room] if len(distinct[i]) <= self.longest)
         size = np.array([len(x) >> 2 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(size) - size
-        n = size[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])].tobytes()
-        text_ends = np.cumsum([len(p) + 1 for p in parts])
-        cuts = [0, *(4 * total[np.searchsorted(starts, text_ends)]).tolist()]
-        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size, size
 
 
 @dataclass(frozen=True)

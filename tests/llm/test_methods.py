@@ -202,6 +202,33 @@ def test_cached_words_encode_like_the_tokenizer():
     assert CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), 50).most == 0
 
 
+def test_plain_words_are_merged_without_the_tokenizer():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from leafline.llm.packing import CachedTokenizer
+
+    class Unused:
+        def encode_batch(self, texts, add_special_tokens):
+            assert not texts
+            return []
+
+    rng, ours = random.Random(9), CachedTokenizer(None, 50)
+    letters = "etaoinshrdlu" * 3 + "abcdefghijklmnopqrstuvwxyzÀéèßöÿŁžſ"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", "", ".", "...", "1", "--"]) for _ in range(400)) for _ in range(40)]
+    texts += ["", " ", "a", "aaaaaaaaaaaaaaaa", "x" * 32, "é" * 16, "~!@#$%^&*()_+" * 2]
+    want, tokenizer = ours._encode(texts), ours.tokenizer
+    ours.tokenizer = Unused()
+    assert ours.encode_batch(texts) == want
+    ours.tokenizer = tokenizer
+    for few in ([], [""], [" "], ["a"], ["1 2 3"], ["a . é"], ["", "\n", "ab"], ["x" * 40]):
+        assert ours.encode_batch(few) == ours._encode(few)
+    long = [f"{'ab' * k} {'é' * k} {'-' * k} {t}" for k in range(10, 60) for t in texts[:2]]
+    assert ours.encode_batch(long) == ours._encode(long)
+    assert 0 < len(ours.cache) <= 50
+    ours.merges = None
+    assert ours.encode_batch(texts) == want
+    assert CachedTokenizer(public_tokenizers.path("byte_bpe_50k.json"), 50).merges is None
+
+
 def test_near_copies_that_share_a_hot_passage(spark):
     """Pairs that meet only in keys whose first and last node resemble neither of them are compared all the same."""
     rng = random.Random(5)
