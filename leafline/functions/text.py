@@ -12,9 +12,12 @@ def normalized(text: Column) -> Column:
 
 
 def char_similarity(a: Column, b: Column) -> Column:
-    """1 minus edit distance over the longer length; two empty texts are equal."""
-    most = F.greatest(F.length(a), F.length(b))
-    return F.when(most == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / most)
+    """1 minus edit distance over the longer length; two empty texts are equal.
+
+    A text that holds the other is as far from it as it is longer; only other pairs need the table of both lengths.
+    """
+    most, apart = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(1 - F.when(F.contains(a, b) | F.contains(b, a), apart).otherwise(F.levenshtein(a, b)) / most)
 
 
 def caption_kind(text: Column) -> Column:

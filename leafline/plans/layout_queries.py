@@ -349,8 +349,8 @@ def token_f1(spark, d):
 @query
 def char_similarity_by_role(spark, d):
     e = content.pseudo_translation(_el(spark, d)).withColumnRenamed("text", "longer")
-    both = _el(spark, d).join(e, ["page", "idx"])
-    return both.select("page", "idx", F.round(char_similarity(normalized(F.col("text")), normalized(F.col("longer"))), 8).alias("similarity"))
+    both = _el(spark, d).join(e, ["page", "idx"]).select("page", "idx", normalized(F.col("text")).alias("a"), normalized(F.col("longer")).alias("b"))
+    return both.select("page", "idx", F.round(char_similarity(F.col("a"), F.col("b")), 8).alias("similarity"))
 
 
 @query
