@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_right
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,9 +111,92 @@ def zone(y0: Column, y1: Column, page_height: float) -> Column:
     return F.when(center < 0.1, "top").when(center > 0.9, "bottom").otherwise("body")
 
 
-def _matched_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, for which SQL has no function; null where either text is."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def matched_characters(a: str, b: str) -> int:
+    """Characters in the matching blocks of ``difflib.SequenceMatcher(None, a, b)``, found by searches for substrings.
+
+    The longest block without popular characters of ``b``, the first of equal ones, grows by equal characters
+    at both ends; the same is done before and after it. In texts of 200 characters and more those are popular
+    that make up over a hundredth.
+    """
+    n, popular = len(b), set()
+    if n >= 200:
+        popular = {c for c, k in Counter(b).items() if k > n // 100 + 1}
+    usable = set(b) - popular
+    runs, start = [], None
+    for i, c in enumerate(a):
+        if c not in usable:
+            if start is not None:
+                runs.append((start, i))
+                start = None
+        elif start is None:
+            start = i
+    if start is not None:
+        runs.append((start, len(a)))
+    ends = [e for _, e in runs]
+    found, total, todo = b.find, 0, [(0, len(a), 0, n)]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        size, at, to, r = 0, alo, blo, bisect_right(ends, alo)
+        while r < len(runs) and runs[r][0] < ahi and size < bhi - blo:
+            i, end = max(runs[r][0], alo), min(runs[r][1], ahi)
+            while i + size < end:
+                j = found(a[i : i + size + 1], blo, bhi)
+                if j >= 0:
+                    while j >= 0:
+                        size, at, to = size + 1, i, j
+                        while i + size < end and j + size < bhi and a[i + size] == b[j + size]:
+                            size += 1
+                        j = found(a[i : i + size + 1], j, bhi) if i + size < end else -1
+                i += 1
+            r += 1
+        while at > alo and to > blo and a[at - 1] == b[to - 1]:
+            at, to, size = at - 1, to - 1, size + 1
+        while at + size < ahi and to + size < bhi and a[at + size] == b[to + size]:
+            size += 1
+        if size:
+            total += size
+            if alo < at and blo < to:
+                todo.append((alo, at, blo, to))
+            if at + size < ahi and to + size < bhi:
+                todo.append((at + size, ahi, to + size, bhi))
+    return total
+
+
+def _matched_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Share of characters in matching blocks, for which SQL has no function; null where either text is, 0 if common characters can't reach ``least``."""
+
+    def ratio(x: str, y: str, at_least: float) -> float:
+        if at_least > 0 and 2 * (Counter(x) & Counter(y)).total() < at_least * (len(x) + len(y)):
+            return 0.0
+        return 2.0 * matched_characters(x, y) / (len(x) + len(y))
+
+    return pd.Series([None if x is None or y is None else ratio(x, y, m) for x, y, m in zip(a, b, least, strict=True)], dtype="float64")
+
+
+def plain_text(c: Column) -> Column:
+    """Lower case with single spaces."""
+    return F.btrim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
+def is_meaningful(plain: Column) -> Column:
+    """Whether a text has two letters or digits."""
+    return plain.rlike(r"(?s)[\p{L}\p{N}].*?[\p{L}\p{N}]")
+
+
+def decided_similarity(x: Column, y: Column, meaningful: Column) -> Column:
+    """The similarity of plain texts where no characters have to be matched, else null."""
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(~meaningful, 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0)
+
+
+def similarity_bound(x: Column, y: Column) -> Column:
+    """What the share of characters in matching blocks can be at most, by the lengths of both texts."""
+    return 2 * F.least(F.length(x), F.length(y)) / F.greatest(F.length(x) + F.length(y), F.lit(1))
+
+
+def matched_similarity(decided: Column, x: Column, y: Column, least: Column | None = None) -> Column:
+    """``decided``, or where it is null the share of characters in matching blocks; 0 may stand for a share below ``least``."""
+    ratio = F.pandas_udf(_matched_ratio, "double")
+    return F.coalesce(decided, ratio(F.when(decided.isNull(), x), F.when(decided.isNull(), y), F.lit(0.0) if least is None else least))
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -121,12 +205,8 @@ def text_similarity(a: Column, b: Column) -> Column:
     0 if one is empty, or if they differ and one has fewer than two letters and digits. Only
     texts that are not decided by that are compared in Python.
     """
-    matched_ratio = F.pandas_udf(_matched_ratio, "double")
-    plain = lambda c: F.btrim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    x, y = plain(a), plain(b)
-    meaningful = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    decided = F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.least(meaningful(x), meaningful(y)) < 2, 0.0).when(F.contains(x, y) | F.contains(y, x), 1.0)
-    return F.coalesce(decided, matched_ratio(F.when(decided.isNull(), x), F.when(decided.isNull(), y)))
+    x, y = plain_text(a), plain_text(b)
+    return matched_similarity(decided_similarity(x, y, is_meaningful(x) & is_meaningful(y)), x, y)
 
 
 def style_ids(elements: DataFrame, signature: Column) -> DataFrame:
