@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions.geometry import Box, coverage, horizontal_overlap_ratio
 from leafline.operators import covers
-from leafline.operators.evidence import text_similarity
+from leafline.operators.evidence import decided_similarity, is_meaningful, matched_similarity, plain_text, similarity_bound
 from leafline.operators.matching import side
 
 EDGE = ["page", "source", "target"]
@@ -120,14 +120,20 @@ def caption_edges(captions: DataFrame, targets: DataFrame, page_width: float, pa
 
 
 def text_parents(elements: DataFrame, regions: DataFrame, page_height: float, least: float = 0.74, margin: float = 0.08) -> DataFrame:
-    """Elements (with text) whose best region (page, region, text, box) by 0.7 text + 0.2 nearness + 0.1 coverage is good enough and clearly best."""
+    """Elements (with text) whose best region (page, region, text, box) by 0.7 text + 0.2 nearness + 0.1 coverage is good enough and clearly best.
+
+    Pairs that can reach neither ``least`` nor a score within ``margin`` of it decide nothing, and are not compared by characters.
+    """
     e, r = Box.of("e_"), Box.of("r_")
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    has_text = F.lower(F.trim(F.coalesce("text", F.lit("")))) != ""
+    plain = lambda df: df.withColumn("plain", plain_text(F.col("text"))).withColumn("meaningful", is_meaningful(F.col("plain")))
     gap = F.greatest(F.lit(0.0), F.greatest(e.y0, r.y0) - F.least(e.y1, r.y1)) / page_height
-    joined = side(elements, "e_", "idx", "text").join(side(regions, "r_", "region", "text"), "page").where((low("e_text") != "") & (gap <= 0.1))
-    score = 0.7 * text_similarity(F.col("e_text"), F.col("r_text")) + 0.2 * (1 - F.least(F.lit(1.0), 10 * gap)) + 0.1 * coverage(e, r)
+    joined = side(plain(elements.where(has_text)), "e_", "idx", "plain", "meaningful").join(side(plain(regions), "r_", "region", "plain", "meaningful"), "page").where(gap <= 0.1)
+    x, y = F.col("e_plain"), F.col("r_plain")
+    known = joined.select("page", "e_idx", "r_region", "e_plain", "r_plain", decided_similarity(x, y, F.col("e_meaningful") & F.col("r_meaningful")).alias("decided"), (0.2 * (1 - F.least(F.lit(1.0), 10 * gap))).alias("near"), (0.1 * coverage(e, r)).alias("held"))
+    needed = (least - max(margin, 0.0) - 1e-6 - F.col("near") - F.col("held")) / 0.7
+    able = known.where(F.coalesce("decided", similarity_bound(x, y)) >= needed)
+    score = 0.7 * matched_similarity(F.col("decided"), x, y, needed) + F.col("near") + F.col("held")
     w = Window.partitionBy("page", "e_idx").orderBy(F.desc("score"), "r_region")
-    top = joined.withColumn("score", F.round(score, 8)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("n", F.row_number().over(w)).where("n = 1")
+    top = able.withColumn("score", F.round(score, 8)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("n", F.row_number().over(w)).where("n = 1")
     return top.where((F.col("score") >= least) & (F.col("score") - F.col("second") >= margin)).select("page", F.col("e_idx").alias("idx"), F.col("r_region").alias("region"), "score")
-
-
