@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions.geometry import Box, center_inside, coverage, intersection_area, iou
-from leafline.operators.evidence import text_similarity
+from leafline.operators.evidence import decided_similarity, is_meaningful, matched_similarity, plain_text, similarity_bound
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -30,16 +30,28 @@ def best_regions_by_text(elements: DataFrame, regions: DataFrame, least_coverage
     Ties go to the more similar, then to regions of fine granularity, then to the smaller, then to the earlier. Regions that share
     neither area nor text with an element are not compared.
     """
-    e, r = Box.of("e_"), Box.of("r_")
-    joined = side(elements, "e_", "idx", "text").join(side(regions, "r_", "region", "text", "fine"), "page").withColumn("coverage", coverage(e, r))
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    held = (low("e_text") != "") & F.contains(low("r_text"), low("e_text"))
-    scored = joined.where((F.col("coverage") > 0) | held).withColumn("similarity", text_similarity(F.col("e_text"), F.col("r_text")))
-    scored = scored.withColumn("score", 0.75 * F.col("coverage") + 0.25 * F.col("similarity"))
-    w = Window.partitionBy("page", "e_idx").orderBy(F.desc("score"), F.desc("similarity"), F.desc("r_fine"), F.greatest(r.area, F.lit(1.0)), "r_region")
+    e, low = Box.of("e_"), lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    texts = lambda df: df.select("*", low("text").alias("low"), plain_text(F.col("text")).alias("plain")).withColumn("meaningful", is_meaningful(F.col("plain")))
+    own = side(texts(elements), "e_", "idx", "low", "plain", "meaningful")
+    named = texts(regions).groupBy("page").agg(F.collect_list(F.struct("region", "fine", "low", "plain", "meaningful", *BOX)).alias("regions"))
+
+    def candidate(x: Column) -> Column:
+        r = Box(*[x[c] for c in BOX])
+        shared, held = coverage(e, r), (F.col("e_low") != "") & F.contains(x["low"], F.col("e_low"))
+        decided = decided_similarity(F.col("e_plain"), x["plain"], F.col("e_meaningful") & x["meaningful"])
+        bound = F.coalesce(decided, similarity_bound(F.col("e_plain"), x["plain"]))
+        return F.when((shared > 0) | held, F.struct(x["region"].alias("region"), x["fine"].alias("fine"), F.when(decided.isNull(), x["plain"]).alias("plain"), r.area.alias("area"), shared.alias("coverage"), decided.alias("decided"), bound.alias("bound")))
+
+    # of the regions of an element those go on that may be the best: none can be that is below the least score of another
+    score = lambda coverage, similarity: 0.75 * coverage + 0.25 * similarity
+    some = own.join(named, "page").withColumn("some", F.filter(F.transform("regions", candidate), lambda c: c.isNotNull())).drop("regions")
+    sure = some.withColumn("sure", F.array_max(F.transform("some", lambda c: score(c["coverage"], F.coalesce(c["decided"], F.lit(0.0))))))
+    able = sure.withColumn("c", F.explode(F.filter("some", lambda c: score(c["coverage"], c["bound"]) >= F.col("sure") - 1e-9))).select("page", "e_idx", F.when(F.col("c.decided").isNull(), F.col("e_plain")).alias("e_plain"), "c.*")
+    scored = able.withColumn("similarity", matched_similarity(F.col("decided"), F.col("e_plain"), F.col("plain"))).withColumn("score", score(F.col("coverage"), F.col("similarity")))
+    w = Window.partitionBy("page", "e_idx").orderBy(F.desc("score"), F.desc("similarity"), F.desc("fine"), F.greatest(F.col("area"), F.lit(1.0)), "region")
     best = scored.withColumn("n", F.row_number().over(w)).where("n = 1")
     kept = best.where((F.col("coverage") >= least_coverage) | (F.col("similarity") >= least_similarity))
-    return kept.select("page", F.col("e_idx").alias("idx"), F.col("r_region").alias("region"), F.round("coverage", 8).alias("coverage"), F.round("similarity", 8).alias("similarity"))
+    return kept.select("page", F.col("e_idx").alias("idx"), "region", F.round("coverage", 8).alias("coverage"), F.round("similarity", 8).alias("similarity"))
 
 
 def memberships(elements: DataFrame, regions: DataFrame, least: float = 0.5, margin: float = 0.1) -> DataFrame:

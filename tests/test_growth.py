@@ -4,10 +4,13 @@ import difflib
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafline.functions.text import char_similarity
-from leafline.operators import evidence
+from leafline.operators import decode, evidence, matching
+
+BOX = "x0 double, y0 double, x1 double, y1 double"
 
 
 def test_a_long_text_that_holds_another_needs_no_table(spark):
@@ -39,3 +42,28 @@ def test_matching_blocks_of_prose_are_found_faster_than_by_difflib():
             f(a, b)
         took.append(time.process_time() - began)
     assert took[1] < 0.7 * took[0]
+
+
+@pytest.fixture
+def no_comparison(monkeypatch):
+    """Any pair that would be compared by characters is an error."""
+    for module in (decode, matching):
+        monkeypatch.setattr(module, "matched_similarity", lambda decided, *_: F.coalesce(decided, F.raise_error(F.lit("compared")).cast("double")))
+
+
+def _lines(spark, texts, key):
+    return spark.createDataFrame([(1, k, t, 10.0, 10.0 + k, 300.0, 20.0 + k) for k, t in enumerate(texts)], f"page bigint, {key} bigint, text string, {BOX}")
+
+
+def test_parents_of_unlike_lengths_are_not_compared(spark, no_comparison):
+    texts = [f"{'abc'[k % 3]} line {k} of the page" for k in range(20)]
+    long = [t + " and what follows it for a while " * 4 for t in texts]
+    got = decode.text_parents(_lines(spark, texts, "idx"), _lines(spark, long, "region"), 792.0).collect()
+    assert {(r.idx, r.region) for r in got} == {(k, k) for k in range(20)}
+
+
+def test_regions_that_cannot_be_best_are_not_compared(spark, no_comparison):
+    e = _lines(spark, ["ab" * (20 + k) + "!" for k in range(20)], "idx")
+    r = _lines(spark, ["ab" * (20 + k) + "!" for k in range(20)], "region").withColumn("fine", F.lit(0))
+    got = matching.best_regions_by_text(e, r).collect()
+    assert {(r.idx, r.region, r.similarity) for r in got} == {(k, k, 1.0) for k in range(20)}
