@@ -72,24 +72,59 @@ def path_cover(edges: DataFrame) -> DataFrame:
 
 
 def max_regret_edges(edges: list[tuple[int, int, float]], least: float) -> list[tuple[int, int, float, float]]:
-    """Edges chosen one by one by what is lost if they are not: score minus the best feasible alternatives, at both ends."""
-    chains, left, out = _Chains(), [e for e in edges if e[2] >= least], []
-    while True:
-        left = [e for e in left if not chains.obstacle(e[0], e[1])]
-        if not left:
-            return out
-        tops: dict[tuple[str, int], list[float]] = {}
-        for s, t, score in left:
-            for key in (("s", s), ("t", t)):
-                tops[key] = sorted([*tops.get(key, []), score], reverse=True)[:2]
-
-        def other(key: tuple[str, int], score: float, tops: dict = tops) -> float:
-            best = tops[key]
-            return score - (best[1] if best[0] == score and len(best) > 1 else 0.0 if best[0] == score else best[0])
-
-        regret, score, s, t = max((other(("s", s), sc) + other(("t", t), sc), sc, -s, -t) for s, t, sc in left)
-        chains.add(-s, -t)
-        out.append((-s, -t, score, round(regret, 8)))
+    """Edges chosen one by one by what is lost if they are not: score minus the best feasible alternatives, at both ends.
+
+    An edge that is chosen takes away those of its source and target, and the one that would close its chain;
+    only edges at ends whose two best scores change by that are valued again.
+    """
+    left = [e for e in edges if e[2] >= least and e[0] != e[1]]
+    ends = [(("s", s), ("t", t)) for s, t, _ in left]
+    alive: dict[tuple[str, int], set[int]] = {}
+    same: dict[tuple[int, int], list[int]] = {}
+    for i, (s, t, _) in enumerate(left):
+        same.setdefault((s, t), []).append(i)
+        for key in ends[i]:
+            alive.setdefault(key, set()).add(i)
+    best = lambda key: heapq.nlargest(2, (left[i][2] for i in alive[key]))
+    tops = {key: best(key) for key in alive}
+
+    def other(key: tuple[str, int], score: float) -> float:
+        top = tops[key]
+        return score - (top[1] if top[0] == score and len(top) > 1 else 0.0 if top[0] == score else top[0])
+
+    def valued(i: int) -> tuple[float, float, int, int, int]:
+        (s, t, score), (a, b) = left[i], ends[i]
+        value[i] = other(a, score) + other(b, score)
+        return (-value[i], -score, s, t, i)
+
+    value: dict[int, float] = {}
+    queue = [valued(i) for i in range(len(left))]
+    heapq.heapify(queue)
+    head: dict[int, int] = {}
+    tail: dict[int, int] = {}
+    out = []
+    while queue:
+        lost, _, s, t, i = heapq.heappop(queue)
+        if value.get(i) != -lost:
+            continue
+        out.append((s, t, left[i][2], round(-lost, 8)))
+        first, last = head.get(s, s), tail.get(t, t)
+        head[last], tail[first] = first, last
+        changed = set()
+        for k in (alive[ends[i][0]] | alive[ends[i][1]]).union(same.get((last, first), ())):
+            if value.pop(k, None) is not None:
+                for key in ends[k]:
+                    alive[key].discard(k)
+                    changed.add(key)
+        again = set()
+        for key in changed:
+            top = best(key)
+            if top != tops[key]:
+                tops[key] = top
+                again |= alive[key]
+        for k in again:
+            heapq.heappush(queue, valued(k))
+    return out
 
 
 def max_regret_cover(edges: DataFrame, least: float = 0.3) -> DataFrame:
