@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.operators import features, matching, order, reports, shapes, structure
+from leafline.operators.pages import dealt
 from leafline.sources import layout
 from leafline.sources.layout import PAGE_HEIGHT, PAGE_WIDTH, table
 
@@ -368,8 +369,6 @@ def model_comparison(spark, d):
 @query
 def page_alignment(spark, d):
     """Blocks of four lines of a document as its pages, against blocks of a copy that begins two lines later."""
-    e = _el(spark, d)
-    words = lambda shift: e.where(F.col("idx") >= shift).select(
-        F.col("page").alias("doc"), F.floor((F.col("idx") - shift) / 4).alias("page"), F.explode(F.split(F.lower("text"), " ")).alias("token")
-    ).where("token <> ''").groupBy("doc", "page", "token").agg(F.count("*").alias("n"))
-    return reports.page_alignment(words(0), words(2))
+    e = dealt(_el(spark, d))
+    lines = lambda shift: e.where(F.col("idx") >= shift).select(F.col("page").alias("doc"), F.floor((F.col("idx") - shift) / 4).alias("page"), F.lower("text").alias("text"))
+    return reports.text_alignment(lines(0), lines(2))

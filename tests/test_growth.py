@@ -3,6 +3,7 @@
 import difflib
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from leafline.functions.rounding import half_up
 from leafline.functions.text import char_similarity
-from leafline.operators import covers, decode, evidence, matching, order
+from leafline.operators import covers, decode, evidence, matching, order, reports, structure
+from leafline.operators.pages import by_page
+from leafline.plans import registry
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
 
@@ -119,3 +122,65 @@ def test_regrets_are_valued_again_only_where_they_change():
         f(edges, 0.3)
         took.append(time.process_time() - began)
     assert took[1] < 0.2 * took[0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alignment_moves_texts_and_no_tokens(spark):
+    assert "Generate explode(split" not in _plan(registry.queries()["page_alignment"](spark, "/root/testdata/sf0.001"))
+    r = random.Random(7)
+    rows = [(d, p, " ".join(r.choices("abcdefghij", k=r.randrange(1, 9)))) for d in range(6) for p in range(4) for _ in range(3)]
+    moved = [(d, p, t) for d, p, t in rows if r.random() < 0.8]
+    texts = [spark.createDataFrame(x, "doc bigint, page bigint, text string") for x in (rows, moved)]
+    tokens = [x.select("doc", "page", F.explode(F.split("text", " ")).alias("token")).groupBy("doc", "page", "token").agg(F.count("*").alias("n")) for x in texts]
+    got = sorted(reports.text_alignment(*texts).collect())
+    assert got == sorted(reports.page_alignment(*tokens).collect())
+    bags = [{}, {}]
+    for bag, x in zip(bags, (rows, moved), strict=True):
+        for d, p, t in x:
+            bag.setdefault((d, p), Counter()).update(t.split())
+    for row in got:
+        mine = bags[0][row.doc, row.page]
+        f1 = [round(2 * (mine & b).total() / (mine.total() + b.total()), 8) for (d, _), b in bags[1].items() if d == row.doc]
+        assert row.f1 == max(f1)
+    many = {k: Counter({f"{k}-{j}": 1 for j in range(60)} | {"all": k + 1}) for k in range(200)}  # beyond one grid
+    assert sorted(zip(*reports._common(many, many), strict=True))[:2] == [(0, 0, 61, 61, 61), (0, 1, 1, 61, 62)]
+
+
+def test_relations_are_resolved_without_joins_by_text(spark):
+    assert _plan(registry.queries()["resolved_relations"](spark, "/root/testdata/sf0.001")).count("Join ") == 1
+    keys = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "b", 3), (1, "c", 3), (1, "text", 4)], "page bigint, ref string, idx bigint")
+    relations = spark.createDataFrame(
+        [(1, "successor", "a", "b", None, None), (1, "successor", "b", "c", None, None), (1, "precedence", "a", "x", "z", " Text"), (1, "successor", "a", "y", None, "none"), (2, "successor", "a", "b", None, None)],
+        "page bigint, kind string, source string, target string, source_alias string, target_alias string",
+    )
+    got = {(r.page, r.source_ref, r.target_ref): (r.status, r.source, r.target, r.by_alias) for r in structure.resolved_relations(relations, keys).collect()}
+    assert got == {
+        (1, "a", "b"): ("resolved", 1, 2, False), (1, "b", "c"): ("overlap", None, None, False), (1, "a", "x"): ("resolved", 1, 4, True),
+        (1, "a", "y"): ("unresolved", None, None, False), (2, "a", "b"): ("unresolved", None, None, False),
+    }
+
+
+def test_edges_are_counted_without_joins(spark):
+    schema = "kind string, page bigint, source bigint, target bigint"
+    truth = spark.createDataFrame([("a", 1, 1, 2), ("a", 1, 2, 3), ("a", 1, 2, 3), ("b", 1, 5, 6), (None, 1, 1, 2)], schema)
+    found = spark.createDataFrame([("a", 1, 1, 2), ("a", 1, 1, 3), ("a", 1, 1, 3), ("a", 1, 1, 9), ("a", 2, 1, 2), ("c", 1, 1, 2), (None, 1, 1, 2)], schema)
+    counts = reports.edge_counts(found, truth, "kind")
+    assert "Join" not in _plan(counts)
+    assert {tuple(r) for r in counts.collect()} == {("a", 1, 2, 2), ("b", 0, 0, 1), (None, 0, 0, 1)}
+    assert [tuple(r) for r in reports.edge_counts(found.drop("kind"), truth.drop("kind")).collect()] == [(1, 2, 3)]
+
+
+def test_spans_are_not_dealt_again(spark):
+    df = registry.queries()["lines_of_spans"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_selected_edges_are_made_once(spark):
+    e = spark.createDataFrame([(1, k, k + 1, 0.9) for k in range(6)], "page bigint, source bigint, target bigint, score double")
+    selected = by_page(e.where("source % 2 = 0"), ["source"], lambda p: [p["source"], p["target"]], "page bigint, source bigint, target bigint")
+    got = decode.rescued_edges(selected, e.drop("score"), e, 0.5)
+    assert _plan(got).count("MapInArrow") == 2
+    assert {(r.source, r.origin) for r in got.collect()} == {(k, "rescued" if k % 2 else "selected") for k in range(6)}
