@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions.geometry import Box, coverage
 from leafline.operators.matching import side
+from leafline.operators.pages import by_lists
 
 #: Names under which payloads keep edges, by kind.
 EDGE_FIELDS = {
@@ -50,11 +51,16 @@ def structure_relations(payloads: DataFrame) -> DataFrame:
         return F.transform(pairs, lambda x: edge(F.lit("successor"), x["a"], x["b"]))
 
     streams = F.flatten(F.transform(_streams(), follow))
-    flat = p.select("page", F.explode(F.concat(*found, F.coalesce(typed, none), streams)).alias("e")).select("page", "e.*")
-    keyed = flat.where("source IS NOT NULL AND target IS NOT NULL").select("page", "kind", ref_key(F.col("source")).alias("source"), ref_key(F.col("target")).alias("target")).distinct()
-    alias = aliases(payloads)
-    named = lambda end: alias.select("page", F.col("ref").alias(end), F.col("alias").alias(f"{end}_alias"))
-    return keyed.join(named("source"), ["page", "source"], "left").join(named("target"), ["page", "target"], "left").select("page", "kind", "source", "target", "source_alias", "target_alias")
+    whole = F.filter(F.concat(*found, F.coalesce(typed, none), streams), lambda e: e["source"].isNotNull() & e["target"].isNotNull())
+    edges = F.transform(whole, lambda e: edge(e["kind"], ref_key(e["source"]), ref_key(e["target"])))
+    named = F.filter("p.elements", lambda e: e["id"].isNotNull() & (F.trim(e["text"]) != ""))
+    texts = F.coalesce(F.transform(named, lambda e: F.struct(ref_key(e["id"]).alias("ref"), e["text"].alias("alias"))), F.array().cast("array<struct<ref:string,alias:string>>"))
+    rows = p.select("page", edges.alias("edges"), texts.alias("texts")).groupBy("page").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("edges", "texts")])
+    rows = rows.select("page", F.array_distinct("edges").alias("edges"), F.sort_array("texts").alias("texts"))
+    first = F.filter("texts", lambda x, i: (i == 0) | (F.get("texts", i.cast("int") - 1)["ref"] != x["ref"]))  # the least text of each
+    flat = rows.select("page", F.map_from_entries(first).alias("alias"), F.explode("edges").alias("e"))
+    of = lambda end: F.try_element_at("alias", F.col(f"e.{end}")).alias(f"{end}_alias")
+    return flat.select("page", "e.*", of("source"), of("target"))
 
 
 def _streams() -> Column:
@@ -85,33 +91,29 @@ def endpoints(keys: DataFrame) -> DataFrame:
 def resolved_relations(relations: DataFrame, keys: DataFrame) -> DataFrame:
     """Edges of elements: from the last of the source's group to the first of the target's, with a status.
 
-    An end without a key is tried by its alias. Groups that share an element are skipped.
+    An end without a key is tried by its alias. Groups that share an element are skipped. The relations and
+    the keys of a page are lists of one row, so neither is joined by texts.
     """
-    ends = endpoints(keys)
-
-    def resolved(df: DataFrame, end: str) -> DataFrame:
-        own = lambda key, tag: ends.select("page", F.col("ref").alias(key), *[F.col(c).alias(f"{end}_{tag}_{c}") for c in ("first", "last", "members")])
-        df = df.withColumn(f"{end}_text", ref_key(F.col(f"{end}_alias")))
-        df = df.join(own(end, "k"), ["page", end], "left").join(own(f"{end}_text", "a"), ["page", f"{end}_text"], "left")
-        for c in ("first", "last", "members"):
-            df = df.withColumn(f"{end}_{c}", F.coalesce(f"{end}_k_{c}", f"{end}_a_{c}"))
-        return df.withColumn(f"{end}_via", F.when(F.col(f"{end}_k_first").isNotNull(), "key").when(F.col(f"{end}_a_first").isNotNull(), "alias"))
-
-    both = resolved(resolved(relations, "source"), "target")
-    member = keys.select("page", "ref", "idx")
-    shared = (
-        both.select("page", "kind", "source", "target", F.coalesce("source_k_first", F.lit(-1)).alias("x"), F.when(F.col("source_via") == "key", F.col("source")).otherwise(F.col("source_text")).alias("s"), F.when(F.col("target_via") == "key", F.col("target")).otherwise(F.col("target_text")).alias("t"))
-        .join(member.select("page", F.col("ref").alias("s"), "idx"), ["page", "s"]).join(member.select("page", F.col("ref").alias("t"), "idx"), ["page", "t", "idx"])
-        .select("page", "kind", "source", "target").distinct().withColumn("shared", F.lit(True))
-    )
-    out = both.join(shared, ["page", "kind", "source", "target"], "left")
-    status = F.when(F.col("source_via").isNull() | F.col("target_via").isNull(), "unresolved").when(F.col("shared"), "overlap").otherwise("resolved")
-    done = status == "resolved"
-    return out.select(
-        "page", "kind", F.col("source").alias("source_ref"), F.col("target").alias("target_ref"), status.alias("status"),
-        F.when(done, F.col("source_last")).alias("source"), F.when(done, F.col("target_first")).alias("target"),
-        (F.coalesce(F.col("source_via") == "alias", F.lit(False)) | F.coalesce(F.col("target_via") == "alias", F.lit(False))).alias("by_alias"),
-    )
+    alias = lambda end: ref_key(F.col(f"{end}_alias")).alias(f"{end}_text")
+    listed = relations.groupBy("page").agg(F.collect_list(F.struct("kind", "source", "target", alias("source"), alias("target"))).alias("relations"))
+    known = keys.where("ref IS NOT NULL AND idx IS NOT NULL").groupBy("page").agg(F.collect_list(F.struct("ref", "idx")).alias("keys"))
+    rows = listed.join(known, "page", "left").select("page", "relations", "keys")
+    return by_lists(rows, _resolved, "page bigint, kind string, source_ref string, target_ref string, status string, source bigint, target bigint, by_alias boolean")
+
+
+def _resolved(relations: list[list], keys: list[list]) -> list[list]:
+    members: dict[str, set[int]] = {}
+    for ref, idx in zip(*keys, strict=True):
+        members.setdefault(ref, set()).add(idx)
+    out = []
+    for kind, source, target, source_text, target_text in zip(*relations, strict=True):
+        a, b = members.get(source), members.get(target)
+        by_alias = (a is None and source_text in members) or (b is None and target_text in members)
+        a, b = members.get(source_text) if a is None else a, members.get(target_text) if b is None else b
+        status = "unresolved" if a is None or b is None else "resolved" if a.isdisjoint(b) else "overlap"
+        ends = (max(a), min(b)) if status == "resolved" else (None, None)
+        out.append((kind, source, target, status, *ends, by_alias))
+    return [list(c) for c in zip(*out, strict=True)]
 
 
 def relation_statistics(resolved: DataFrame) -> DataFrame:

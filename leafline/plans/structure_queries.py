@@ -74,11 +74,12 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
 def _keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of elements: most by name, one in eleven with its successor as a group, and all texts."""
     e = _el(spark, d)
-    name = F.lower(_ref("idx"))
-    named = e.where("idx % 7 <> 0").select("page", name.alias("ref"), "idx")
-    grouped = e.where("idx % 11 = 0").select("page", name.alias("ref"), (F.col("idx") + 1).alias("idx"))
-    texts = e.where("trim(text) <> ''").select("page", structure.ref_key(F.col("text")).alias("ref"), "idx")
-    return named.unionByName(grouped).unionByName(texts).distinct()
+    name, key = F.lower(_ref("idx")), lambda c, ref, idx: F.when(c, F.struct(ref.alias("ref"), idx.alias("idx")))
+    found = F.array(
+        key(F.col("idx") % 7 != 0, name, F.col("idx")), key(F.col("idx") % 11 == 0, name, F.col("idx") + 1),
+        key(F.trim("text") != "", structure.ref_key(F.col("text")), F.col("idx")),
+    )
+    return e.select("page", F.explode(F.array_compact(found)).alias("k")).select("page", "k.ref", "k.idx").repartition("page").distinct()
 
 
 @query
