@@ -26,14 +26,18 @@ def prf(correct: Column, predicted: Column, labels: Column) -> list[Column]:
 
 
 def edge_counts(predicted: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
-    """Correct, predicted and labelled edges for each value of ``by``, which both have; an edge counts only if both of its ends are labelled."""
-    ends = truth.select(*by, "page", F.explode(F.array("source", "target")).alias("idx")).distinct()
-    keys = [*by, "page"]
-    scorable = predicted.select(*by, *EDGE).distinct()
-    for end in ("source", "target"):
-        scorable = scorable.join(ends.withColumnRenamed("idx", end), [*keys, end], "left_semi")
-    both = scorable.withColumn("p", F.lit(1)).join(truth.select(*by, *EDGE).distinct().withColumn("t", F.lit(1)), [*by, *EDGE], "full")
-    return both.groupBy(*by).agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("correct"), F.count("p").alias("predicted"), F.count("t").alias("labels"))
+    """Correct, predicted and labelled edges for each value of ``by``, which both have; an edge counts only if both of its ends are labelled.
+
+    The edges of a page are two sets in one row, so that no two tables of edges are sorted and joined.
+    """
+    keys, edge = [*by, "page"], F.struct("source", "target")
+    known = predicted.where(" AND ".join(f"{c} IS NOT NULL" for c in [*by, *EDGE])).select(*keys, edge.alias("p"), F.lit(None).cast("struct<source:bigint,target:bigint>").alias("t"))
+    labels = truth.select(*keys, F.lit(None).cast("struct<source:bigint,target:bigint>").alias("p"), edge.alias("t"))
+    sets = known.unionByName(labels).groupBy(*keys).agg(F.collect_set("p").alias("p"), F.collect_set("t").alias("t"))
+    ends = sets.withColumn("ends", F.array_distinct(F.flatten(F.transform("t", lambda x: F.array(x["source"], x["target"])))))
+    scorable = ends.withColumn("p", F.filter("p", lambda x: F.array_contains("ends", x["source"]) & F.array_contains("ends", x["target"]))).where("size(p) > 0 OR size(t) > 0")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return scorable.groupBy(*by).agg(total(F.size(F.array_intersect("p", "t"))).alias("correct"), total(F.size("p")).alias("predicted"), total(F.size("t")).alias("labels"))
 
 
 def edge_report(predicted: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
