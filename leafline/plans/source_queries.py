@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions.geometry import Box
 from leafline.operators import covers, matching, order, reports, shapes
+from leafline.operators.pages import dealt
 from leafline.operators.shapes import shape_geometry
 from leafline.sources import layout, payloads, sinks
 from leafline.sources.layout import PAGE_HEIGHT, PAGE_WIDTH, table
@@ -45,7 +46,7 @@ def source_kinds(spark, d):
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    words = _el(spark, d).select("page", F.col("idx").alias("line"), F.posexplode(F.split("text", " ")).alias("pos", "text"), "x0", "y0", "x1", "y1")
+    words = dealt(_el(spark, d)).select("page", F.col("idx").alias("line"), F.posexplode(F.split("text", " ")).alias("pos", "text"), "x0", "y0", "x1", "y1")
     step = (F.col("x1") - F.col("x0")) / 64
     return words.select("page", "line", F.col("pos").cast("bigint").alias("pos"), "text", F.when(F.col("line") % 9 == 0, 24.0).otherwise(10.0).alias("font_size"), (F.col("x0") + F.least(F.col("pos"), F.lit(63)) * step).alias("x0"), "y0", "x1", "y1")
 
