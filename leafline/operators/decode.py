@@ -90,7 +90,8 @@ def branch_features(scored: DataFrame, elements: DataFrame) -> DataFrame:
 def rescued_edges(selected: DataFrame, base: DataFrame, scores: DataFrame, least: float = 0.95) -> DataFrame:
     """Selected edges, and neighbours of the base order with a score of ``least`` or more where neither end has an edge yet and no cycle comes of it."""
     extra = base.join(scores.select(*EDGE, "score"), EDGE).where(F.col("score") >= least)
-    both = selected.select(*EDGE, F.lit(1.0).alias("score"), F.lit(True).alias("protected")).unionByName(extra.select(*EDGE, "score", F.lit(False).alias("protected")).join(selected.select(*EDGE), EDGE, "left_anti"))
+    each = selected.select(*EDGE, F.lit(1.0).alias("score"), F.lit(True).alias("protected")).unionByName(extra.select(*EDGE, "score", F.lit(False).alias("protected")))
+    both = each.groupBy(*EDGE).agg(F.max_by("score", "protected").alias("score"), F.bool_or("protected").alias("protected"))
     return covers.path_cover(both).where("status = 'selected'").select(*EDGE, F.when(F.col("protected"), "selected").otherwise("rescued").alias("origin"))
 
 
