@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.functions.geometry import Box, overlap_1d
 from leafline.operators.matching import BOX, side
+from leafline.operators.pages import by_pairs, pair_places
 
 
 def _at_least_one(c: Column) -> Column:
@@ -133,17 +138,28 @@ def borda_order(pairwise: DataFrame, ranked: DataFrame) -> DataFrame:
     return out.select("page", "idx", "score", F.row_number().over(w).cast("bigint").alias("place"))
 
 
+def _below(table: pa.Table, cuts: np.ndarray, k: int, height: float) -> list[np.ndarray]:
+    """The ``k`` nearest lines below each line, of its band and the next, that share width with it; ties go to the left one."""
+    page, idx = table["page"].to_numpy(), table["idx"].to_numpy()
+    x0, y0, x1, y1 = (table[c].to_numpy().astype(float) for c in BOX)
+    a, b = pair_places(cuts)
+    band = np.floor(y0 / height)
+    step = band[b] - band[a]
+    near = (idx[a] != idx[b]) & (y0[b] >= y1[a]) & ((step == 0) | (step == 1)) & (np.fmin(x1[a], x1[b]) - np.fmax(x0[a], x0[b]) > 0)
+    a, b = a[near], b[near]
+    order = np.lexsort((y0[b] - y1[a], a))  # stable: rows come by left edge
+    a, b = a[order], b[order]
+    first = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return [page[a[first]], idx[a[first]], idx[b[first]]]
+
+
 def local_candidates(elements: DataFrame, base: DataFrame, relations: DataFrame, k: int = 3, height: float = 120.0) -> DataFrame:
     """Pairs of text lines that may be of one paragraph: neighbours in the base order, related ones, and the ``k`` nearest below.
 
     Lines meet in bands of ``height``, so a page of many lines is not paired as a whole.
     """
-    band = lambda c: F.floor(F.col(c) / height).cast("int")
-    a = side(elements, "a_", "idx").withColumn("band", band("a_y0"))
-    b = side(elements, "b_", "idx").withColumn("band", F.explode(F.array(band("b_y0"), band("b_y0") - 1)))
-    near = a.join(b, ["page", "band"]).where((F.col("b_y0") >= F.col("a_y1")) & (F.col("a_idx") != F.col("b_idx")) & (overlap_1d(F.col("a_x0"), F.col("a_x1"), F.col("b_x0"), F.col("b_x1")) > 0))
-    w = Window.partitionBy("page", "a_idx").orderBy(F.col("b_y0") - F.col("a_y1"), "b_x0", "b_idx")
-    local = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("page", F.col("a_idx").alias("source"), F.col("b_idx").alias("target"))
+    boxed = elements.select("page", "idx", *[F.col(c).cast("double").alias(c) for c in BOX])
+    local = by_pairs(boxed, ["x0", "idx"], partial(_below, k=k, height=height), "page bigint, source bigint, target bigint")
     return local.unionByName(base.select("page", "source", "target")).unionByName(relations.select("page", "source", "target")).distinct()
 
 
