@@ -11,19 +11,16 @@ from pyspark.sql import functions as F
 from leafline.functions.geometry import Box, gap_1d, horizontal_overlap_ratio, vertical_overlap_ratio
 from leafline.functions.text import hash_bucket
 from leafline.operators.metrics import ratio
+from leafline.operators.order import nearest_pairs
 
 FEATURES = ["dx", "dy", "gap_x", "gap_y", "overlap_x", "overlap_y", "height_ratio", "width_ratio", "left_delta", "below", "rank_gap"]
 
 
 def pair_features(elements: DataFrame, nearest: int = 20) -> DataFrame:
     """The ``nearest`` targets of each source by axis gaps, with features; ``visual_rank`` is needed."""
-    cols = ["idx", "x0", "y0", "x1", "y1", "visual_rank"]
-    side = lambda p: elements.select("page", *[F.col(c).alias(f"{p}{c}") for c in cols])
+    near = nearest_pairs(elements, nearest, "visual_rank")
     a, b = Box.of("a_"), Box.of("b_")
     gx, gy = gap_1d(a.x0, a.x1, b.x0, b.x1), gap_1d(a.y0, a.y1, b.y0, b.y1)
-    w = Window.partitionBy("page", "a_idx").orderBy("distance", "b_y0", "b_x0", "b_idx")
-    near = side("a_").join(side("b_"), "page").where("a_idx <> b_idx").withColumn("distance", gx + gy)
-    near = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= nearest)
     values: dict[str, Column] = {
         "dx": b.center_x - a.center_x, "dy": b.center_y - a.center_y, "gap_x": gx, "gap_y": gy, "overlap_x": horizontal_overlap_ratio(a, b),
         "overlap_y": vertical_overlap_ratio(a, b), "height_ratio": a.height / F.greatest(b.height, F.lit(1.0)), "width_ratio": a.width / F.greatest(b.width, F.lit(1.0)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions.text import hash_bucket
 from leafline.operators import content, evidence, learned, metrics, order, strategies
+from leafline.operators.pages import dealt
 from leafline.plans.layout_queries import Query, _el, _visual
 from leafline.sources import layout
 from leafline.sources.layout import PAGE_HEIGHT, PAGE_WIDTH, table
@@ -174,7 +175,9 @@ def successor_examples(spark, d):
 def learned_successors(spark, d):
     """Edges of a classifier that is fitted on some pages and frozen on others."""
     v = order.box_flow_order(_el(spark, d)).withColumnRenamed("flow_rank", "visual_rank")
-    features = learned.document_split(learned.labelled(learned.pair_features(v, 8), order.successor_edges(_visual(spark, d))))
+    examples = learned.labelled(learned.pair_features(v, 8), order.successor_edges(_visual(spark, d)))
+    # each tree reads its task's examples again, and samples them in their order
+    features = learned.document_split(dealt(examples, 64_000_000, spark.sparkContext.defaultParallelism).sortWithinPartitions("page", "source", "target"))
     model = learned.fit_successors(features.where("part = 'fit'"), 5)
     graded = learned.scored(model, features.where("part = 'calibration'"))
     frozen = learned.frozen_threshold(graded).first()
